@@ -52,6 +52,13 @@ class DropFirstEncoding:
             F.concat_ws("_", F.lit(self.column), "category").alias("feature"),
         )
 
+    def positions(self, df: DataFrame) -> DataFrame:
+        """Append the vector position of each row's category; null for the first and for unknown ones."""
+        coded = df.withColumn("category", F.coalesce(F.col(self.column).cast("string"), F.lit("nan")))
+        coded = lookup(coded, self.categories, ["category"], self.limits)
+        position = F.when(F.col("slot") > 0, F.col("slot") - 1)
+        return coded.select(*df.columns, position.alias(f"{self.column}_position"))
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Append a sparse vector of length size - 1.
 
@@ -60,10 +67,8 @@ class DropFirstEncoding:
         """
         if self.size < 2:
             return df
-        last = self.size - 1
-        coded = df.withColumn("category", F.coalesce(F.col(self.column).cast("string"), F.lit("nan")))
-        coded = lookup(coded, self.categories, ["category"], self.limits)
-        slot = F.when(F.col("slot") > 0, F.col("slot") - 1).otherwise(last).cast("double")
+        coded = self.positions(df)
+        slot = F.coalesce(F.col(f"{self.column}_position"), F.lit(self.size - 1)).cast("double")
         meta = {"ml_attr": {"type": "nominal", "num_vals": self.size}}
         coded = coded.select(*df.columns, slot.alias("__slot", metadata=meta))
         encoder = OneHotEncoder(inputCol="__slot", outputCol=self.output, dropLast=True)
