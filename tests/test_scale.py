@@ -109,6 +109,13 @@ def test_sample_is_exact_and_independent_of_partitioning(spark):
     assert other != one
 
 
+def test_sample_with_many_copies_of_one_row(spark):
+    copies = spark.range(2000).select(F.lit(-1).cast("long").alias("id")).union(spark.range(4000))
+    base = materialise(copies.repartition(8), "copies-sample")
+    for seed in range(6):
+        assert sample_rows(base, 60, ["id"], seed).count() == 60
+
+
 def test_lookup_keeps_rows_and_order_with_and_without_broadcast(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("z", 3)], "k string, n int")
     table = materialise(spark.createDataFrame([(c, ord(c)) for c in "abcdefghijklm"], "k string, code int"), "t")

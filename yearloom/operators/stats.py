@@ -86,9 +86,8 @@ def charge_to_cost(df: DataFrame, key: str, charge: str, cost: str) -> DataFrame
 
 
 def cost_charge_correlation(df: DataFrame, key: str, charge: str, cost: str) -> DataFrame:
-    """Correlation per key; null where either side does not vary."""
-    moments = df.groupBy(key).agg(
-        F.corr(cost, charge).alias("r"), F.stddev_pop(cost).alias("a"), F.stddev_pop(charge).alias("b")
-    )
-    varies = (F.col("a") > 0) & (F.col("b") > 0)
-    return moments.select(key, F.when(varies & ~F.isnan("r"), F.col("r")).alias("cost_charge_corr"))
+    """Correlation per key; null where either side does not vary (the built-in would raise there)."""
+    both = F.col(cost).isNotNull() & F.col(charge).isNotNull()
+    x, y = F.when(both, F.col(cost)), F.when(both, F.col(charge))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return df.groupBy(key).agg(F.try_divide(F.covar_pop(cost, charge), spread).alias("cost_charge_corr"))

@@ -100,9 +100,12 @@ def sample_rows(
 ) -> DataFrame:
     """Exactly min(n, rows) rows without replacement, the same ones however the table is partitioned.
 
-    Rows are ranked by a seeded hash of ``identity``, which must tell rows
-    apart.  A hash cut-off that leaves slightly more than n rows runs before
-    the sort, so no task and no merge sees many more than n rows.
+    Rows are ranked by a seeded hash of ``identity``, and the result is a
+    filter on that hash: no row moves.  The cut-off comes from counts per hash
+    value among the lowest hashes only, a little more than n of them, so one
+    task can add them up for any table size.  Copies of a row share a hash and
+    count as one group; if the cut-off falls inside one, as many of its rows as
+    are missing are taken.
     """
     rows = df.count()
     if rows <= n:
@@ -110,15 +113,25 @@ def sample_rows(
     score = F.xxhash64(F.lit(seed), *[F.col(c) for c in identity])
     scored = df.withColumn("__score", score)
     share = (n + 8 * math.sqrt(n) + 16) / rows
-    if share < 0.5:
-        below = int(-(2**63) + share * 2**64)
-        near = scored.filter(F.col("__score") < F.lit(below))
-        if near.count() >= n:
-            scored = near
-    return scored.orderBy("__score", *identity).limit(n).drop("__score")
+    while True:
+        near = scored if share >= 1 else scored.filter(F.col("__score") < F.lit(_cut_at(share)))
+        counts = materialise(near.groupBy("__score").agg(F.count(F.lit(1)).alias("n")), "sample-scores")
+        if share >= 1 or (counts.agg(F.sum("n")).first()[0] or 0) >= n:
+            break
+        share *= 2
+    running = counts.withColumn("upto", F.sum("n").over(W.orderBy("__score")))
+    last = running.filter(F.col("upto") >= n).orderBy("upto").first()
+    missing = n - (last["upto"] - last["n"])
+    if missing == last["n"]:
+        return df.filter(score <= F.lit(last["__score"]))
+    some = df.filter(score == F.lit(last["__score"])).limit(missing)
+    return df.filter(score < F.lit(last["__score"])).unionByName(some)
+
+
+def _cut_at(share: float) -> int:
+    return int(-(2**63) + min(share, 1.0) * (2**64 - 2**12))
 
 
 def sample_mark(identity: Sequence[str], share: float, seed: int = 42) -> Column:
     """True on a fixed share of rows, chosen by hash; no shuffle."""
-    cutoff = int(-(2**63) + share * 2**64)
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in identity]) < F.lit(cutoff)
+    return F.xxhash64(F.lit(seed), *[F.col(c) for c in identity]) < F.lit(_cut_at(share))
