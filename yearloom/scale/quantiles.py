@@ -13,18 +13,25 @@ so the result is too.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import clip
 from ..roles import DEFAULT_LIMITS, Limits
 from .groups import hot_groups, keyed_join
 from .written import materialise
 
 Specs = Mapping[str, tuple[Column, Sequence[float]]]
 
+# Infinite values would stretch a bracket without end: they are ranked as the
+# largest finite numbers and turned back at the end.
+_TOP = 1.7976931348623157e308
+
 
 def number(value: Column) -> Column:
     """As double, with NaN as null (the built-ins would rank NaN highest)."""
@@ -47,33 +54,15 @@ def grouped(
     quantiles = dict(quantiles or {})
     if not quantiles:
         return df.groupBy(*by).agg(*aggs)
-    whole = not by
-    if whole:
-        large = df.count() > limits.group_rows
-        hot = None
-    else:
-        hot = hot_groups(df, by, limits)
-        large = hot is not None
-    if not large:
+    if not by:
+        return _whole_table(df, aggs, quantiles, limits)
+    hot = hot_groups(df, by, limits)
+    if hot is None:
         return df.groupBy(*by).agg(*aggs, *[_direct(number(c), p).alias(a) for a, (c, p) in quantiles.items()])
 
     names = {a: f"__v_{i}" for i, a in enumerate(quantiles)}
     values = [number(c).alias(names[a]) for a, (c, _) in quantiles.items()]
     probs = {names[a]: list(p) for a, (_, p) in quantiles.items()}
-    if whole:
-        long = _long(df.select(F.lit(0).alias("__all"), *values), ["__all"], list(probs))
-        found = _refine(long, ["__all"], probs, limits).drop("__all")
-        extra = df.agg(F.lit(0).alias("__all"), *aggs).drop("__all") if aggs else None
-        wide = found.select(*[F.col(names[a]).alias(a) for a in quantiles])
-        if extra is None:
-            return wide
-        # Both sides are one row.
-        return (
-            extra.withColumn("__one", F.lit(1))
-            .join(wide.withColumn("__one", F.lit(1)), "__one")
-            .drop("__one")
-        )
-
     marked = keyed_join(df, hot.withColumnRenamed("n", "__n"), by, "left", limits)
     is_hot = F.col("__n").isNotNull()
     cold = [
@@ -89,6 +78,99 @@ def grouped(
     )
 
 
+def _whole_table(df: DataFrame, aggs: Sequence[Column], quantiles: Specs, limits: Limits) -> DataFrame:
+    """One row for the whole table.
+
+    The brackets are a few dozen numbers, so they travel as literals: each
+    round is one scan with a small partial aggregation, without join or copy.
+    Only the picked buckets come back to the driver, at most one per rank.
+    """
+    if df.count() <= limits.group_rows // 2:
+        return df.agg(*aggs, *[_direct(number(c), p).alias(a) for a, (c, p) in quantiles.items()])
+    names = list(quantiles)
+    values = df.select(
+        *[
+            clip(number(quantiles[a][0]), -_TOP, _TOP).alias(f"v{i}")
+            for i, a in enumerate(names)
+        ]
+    )
+    ends = values.agg(
+        *[f(f"v{i}").alias(f"{t}{i}") for i in range(len(names)) for t, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+    ).first()
+    positions = {
+        i: [p * (ends[f"n{i}"] - 1) for p in quantiles[a][1]] for i, a in enumerate(names) if ends[f"n{i}"] > 0
+    }
+    found: dict[tuple[int, int], float] = {}
+    open_brackets = [
+        _Bracket(i, ends[f"lo{i}"], ends[f"hi{i}"], 0, ends[f"n{i}"], {r for p in ps for r in (math.floor(p), math.ceil(p))})
+        for i, ps in positions.items()
+    ]
+    turn = 0
+    while True:
+        for b in open_brackets:
+            if b.lo == b.hi:
+                found.update({(b.metric, r): b.lo for r in b.ranks})
+        open_brackets = [b for b in open_brackets if b.lo < b.hi]
+        if not open_brackets:
+            break
+        # Once every bracket fits one task, single values take the place of buckets.
+        by_value = all(b.inside <= limits.group_rows // 10 for b in open_brackets)
+        open_brackets = _narrowed(values, open_brackets, by_value, turn == 0, limits.buckets)
+        turn += 1
+    result = []
+    for i, a in enumerate(names):
+        pairs = [
+            (p - math.floor(p), found[i, math.floor(p)], found[i, math.ceil(p)]) for p in positions.get(i, [])
+        ]
+        mixed = [_unclamp(lo) if lo == hi else (1 - w) * _unclamp(lo) + w * _unclamp(hi) for w, lo, hi in pairs]
+        array = F.array(*[F.lit(x) for x in mixed]) if pairs else F.lit(None)
+        result.append(array.cast("array<double>").alias(a))
+    return (df.agg(*aggs) if aggs else df.sparkSession.range(1).select()).select("*", *result)
+
+
+@dataclass
+class _Bracket:
+    metric: int
+    lo: float
+    hi: float
+    below: int
+    inside: int
+    ranks: set[int]
+
+
+def _narrowed(values: DataFrame, brackets: list[_Bracket], by_value: bool, log: bool, buckets: int) -> list[_Bracket]:
+    entries = []
+    for k, b in enumerate(brackets):
+        v = F.col(f"v{b.metric}")
+        within = F.when(v.between(b.lo, b.hi), v)
+        bucket = F.lit(0) if by_value else _scaled(v, F.lit(b.lo), F.lit(b.hi), log, buckets)
+        entries.append(F.struct(F.lit(k).alias("k"), within.alias("v"), bucket.alias("bucket")))
+    rows = values.select(F.inline(F.array(*entries))).filter(F.col("v").isNotNull())
+    step = "v" if by_value else "bucket"
+    counted = rows.groupBy("k", step).agg(
+        F.count(F.lit(1)).alias("n"), *([] if by_value else [F.min("v").alias("lo"), F.max("v").alias("hi")])
+    )
+    if by_value:
+        counted = counted.select("*", F.col("v").alias("lo"), F.col("v").alias("hi"))
+    counted = counted.withColumn("upto", F.sum("n").over(W.partitionBy("k").orderBy(step)))
+    hit = F.lit(False)
+    for k, b in enumerate(brackets):
+        for r in sorted(b.ranks):
+            here = (F.col("upto") > r - b.below) & (F.col("upto") - F.col("n") <= r - b.below)
+            hit = hit | ((F.col("k") == k) & here)
+    narrowed = []
+    for row in counted.filter(hit).collect():
+        b = brackets[row["k"]]
+        below = b.below + row["upto"] - row["n"]
+        ranks = {r for r in b.ranks if below <= r < below + row["n"]}
+        narrowed.append(_Bracket(b.metric, row["lo"], row["hi"], below, row["n"], ranks))
+    return narrowed
+
+
+def _unclamp(x: float) -> float:
+    return math.copysign(math.inf, x) if abs(x) == _TOP else x
+
+
 def _direct(value: Column, probs: Sequence[float]) -> Column:
     return F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
 
@@ -113,12 +195,7 @@ def _refine(long: DataFrame, by: list[str], probs: Mapping[str, list[float]], li
     """Quantiles of (by, metric) groups of any size; one row per group, one array per metric."""
     group = [*by, "metric"]
     bracket = [*group, "lo", "hi"]
-    # Infinite values would stretch a bracket without end: rank them by clamping
-    # to the largest finite numbers, and turn those back at the end.
-    top = 1.7976931348623157e308
-    rows = materialise(
-        long.withColumn("v", F.greatest(F.lit(-top), F.least(F.lit(top), F.col("v")))), "quantile-values"
-    )
+    rows = materialise(long.withColumn("v", clip("v", -_TOP, _TOP)), "quantile-values")
     wanted = F.lit(None)
     for name, ps in probs.items():
         wanted = F.when(F.col("metric") == name, F.array(*[F.lit(float(p)) for p in ps])).otherwise(wanted)
@@ -202,7 +279,7 @@ def _refine(long: DataFrame, by: list[str], probs: Mapping[str, list[float]], li
     pairs = targets
     for table, column in ((low, "floor_rank"), (high, "ceil_rank")):
         pairs = keyed_join(pairs, table, [*group, column], "left", limits)
-    unclamp = lambda x: F.when(F.abs(x) == top, F.signum(x) * F.lit(float("inf"))).otherwise(x)
+    unclamp = lambda x: F.when(F.abs(x) == _TOP, F.signum(x) * F.lit(float("inf"))).otherwise(x)
     a, b = unclamp(F.col("low")), unclamp(F.col("high"))
     mixed = F.when(a == b, a).otherwise((1 - F.col("weight")) * a + F.col("weight") * b)
     arrays = [
