@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import yearloom.scale.quantiles as quantile_module
 from yearloom.roles import Limits
 from yearloom.scale import grouped, hot_groups, indexed, lagged, lookup, materialise, modes, sample_rows
 
@@ -35,8 +36,10 @@ def test_hot_groups_finds_null_and_large_keys(skewed):
     assert hot_groups(skewed, ["k"], Limits()) is None
 
 
-@pytest.mark.parametrize("by", [[], ["k"]])
-def test_refined_quantiles_equal_numpy(skewed, by):
+@pytest.mark.parametrize("by, few", [([], 32), (["k"], 32), (["k"], 0)])
+def test_refined_quantiles_equal_numpy(skewed, by, few, monkeypatch):
+    """Few hot groups as literals, many as a joined table, and the whole table."""
+    monkeypatch.setattr(quantile_module, "_FEW_GROUPS", few)
     spec = {"qv": (F.col("v"), PROBS), "qw": (F.col("w"), [0.5, 0.25])}
     got = grouped(skewed, by, [F.count(F.lit(1)).alias("n"), F.avg("v").alias("m")], spec, TINY).collect()
     data = skewed.toPandas()

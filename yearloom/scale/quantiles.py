@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -61,75 +62,61 @@ def grouped(
         return df.groupBy(*by).agg(*aggs, *[_direct(number(c), p).alias(a) for a, (c, p) in quantiles.items()])
 
     names = {a: f"__v_{i}" for i, a in enumerate(quantiles)}
-    values = [number(c).alias(names[a]) for a, (c, _) in quantiles.items()]
-    probs = {names[a]: list(p) for a, (_, p) in quantiles.items()}
     marked = keyed_join(df, hot.withColumnRenamed("n", "__n"), by, "left", limits)
     is_hot = F.col("__n").isNotNull()
-    cold = [
-        _direct(F.when(~is_hot, number(c)), p).alias(f"__c{names[a]}") for a, (c, p) in quantiles.items()
-    ]
+    cold = [_direct(F.when(~is_hot, number(c)), p).alias(f"__c{names[a]}") for a, (c, p) in quantiles.items()]
     base = marked.groupBy(*by).agg(*aggs, *cold)
-    long = _long(marked.filter(is_hot).select(*by, *values), by, list(probs))
-    found = materialise(_refine(long, by, probs, limits), "hot-quantiles")
+    found = _few_hot(df, hot, by, quantiles, limits) if hot.count() <= _FEW_GROUPS else None
+    if found is None:
+        values = [number(c).alias(names[a]) for a, (c, _) in quantiles.items()]
+        probs = {names[a]: list(p) for a, (_, p) in quantiles.items()}
+        long = _long(marked.filter(is_hot).select(*by, *values), by, list(probs))
+        found = materialise(_refine(long, by, probs, limits), "hot-quantiles")
     both = keyed_join(base, found, by, "left", limits)
     kept = [c for c in base.columns if not c.startswith("__c__v_")]
-    return both.select(
-        *kept, *[F.coalesce(F.col(names[a]), F.col(f"__c{names[a]}")).alias(a) for a in quantiles]
-    )
+    return both.select(*kept, *[F.coalesce(F.col(names[a]), F.col(f"__c{names[a]}")).alias(a) for a in quantiles])
 
 
 def _whole_table(df: DataFrame, aggs: Sequence[Column], quantiles: Specs, limits: Limits) -> DataFrame:
-    """One row for the whole table.
-
-    The brackets are a few dozen numbers, so they travel as literals: each
-    round is one scan with a small partial aggregation, without join or copy.
-    Only the picked buckets come back to the driver, at most one per rank.
-    """
+    """One row for the whole table."""
     if df.count() <= limits.group_rows // 2:
         return df.agg(*aggs, *[_direct(number(c), p).alias(a) for a, (c, p) in quantiles.items()])
-    names = list(quantiles)
-    values = df.select(
-        *[
-            clip(number(quantiles[a][0]), -_TOP, _TOP).alias(f"v{i}")
-            for i, a in enumerate(names)
-        ]
-    )
-    ends = values.agg(
-        *[f(f"v{i}").alias(f"{t}{i}") for i in range(len(names)) for t, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
-    ).first()
-    positions = {
-        i: [p * (ends[f"n{i}"] - 1) for p in quantiles[a][1]] for i, a in enumerate(names) if ends[f"n{i}"] > 0
-    }
-    found: dict[tuple[int, int], float] = {}
-    open_brackets = [
-        _Bracket(i, ends[f"lo{i}"], ends[f"hi{i}"], 0, ends[f"n{i}"], {r for p in ps for r in (math.floor(p), math.ceil(p))})
-        for i, ps in positions.items()
-    ]
-    turn = 0
-    while True:
-        for b in open_brackets:
-            if b.lo == b.hi:
-                found.update({(b.metric, r): b.lo for r in b.ranks})
-        open_brackets = [b for b in open_brackets if b.lo < b.hi]
-        if not open_brackets:
-            break
-        # Once every bracket fits one task, single values take the place of buckets.
-        by_value = all(b.inside <= limits.group_rows // 10 for b in open_brackets)
-        open_brackets = _narrowed(values, open_brackets, by_value, turn == 0, limits.buckets)
-        turn += 1
-    result = []
-    for i, a in enumerate(names):
-        pairs = [
-            (p - math.floor(p), found[i, math.floor(p)], found[i, math.ceil(p)]) for p in positions.get(i, [])
-        ]
-        mixed = [_unclamp(lo) if lo == hi else (1 - w) * _unclamp(lo) + w * _unclamp(hi) for w, lo, hi in pairs]
-        array = F.array(*[F.lit(x) for x in mixed]) if pairs else F.lit(None)
-        result.append(array.cast("array<double>").alias(a))
+    answers = _counted(df.withColumn("__g", F.lit(0)), 1, quantiles, limits)[0]
+    result = [_array(answers[a]).alias(a) for a in quantiles]
     return (df.agg(*aggs) if aggs else df.sparkSession.range(1).select()).select("*", *result)
 
 
+def _few_hot(df: DataFrame, hot: DataFrame, by: list[str], quantiles: Specs, limits: Limits) -> DataFrame:
+    """Quantiles of a handful of hot groups, whose keys can travel as literals."""
+    keys = hot.select(*by).collect()  # at most _FEW_GROUPS rows
+    group = F.lit(None).cast("int")
+    for g, key in enumerate(keys):
+        match = F.lit(True)
+        for b in by:
+            match = match & F.col(b).eqNullSafe(F.lit(key[b]).cast(df.schema[b].dataType))
+        group = F.when(match, g).otherwise(group)
+    answers = _counted(df.withColumn("__g", group).filter(F.col("__g").isNotNull()), len(keys), quantiles, limits)
+    rows = [(*key, *[answers[g][a] for a in quantiles]) for g, key in enumerate(keys)]
+    types = [f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by]
+    types += [f"__v_{i} array<double>" for i in range(len(quantiles))]
+    return df.sparkSession.createDataFrame(rows, ", ".join(types))
+
+
+def _array(values: list[float] | None) -> Column:
+    array = F.lit(None) if values is None else F.array(*[F.lit(x) for x in values])
+    return array.cast("array<double>")
+
+
+# Groups and ranks that the literal form of a round may mention.
+_FEW_GROUPS = 32
+_RANKS_AT_ONCE = 64
+
+
 @dataclass
 class _Bracket:
+    """Values of one group and metric that may still hold some of its ranks."""
+
+    group: int
     metric: int
     lo: float
     hi: float
@@ -138,32 +125,105 @@ class _Bracket:
     ranks: set[int]
 
 
-def _narrowed(values: DataFrame, brackets: list[_Bracket], by_value: bool, log: bool, buckets: int) -> list[_Bracket]:
-    entries = []
+def _counted(df: DataFrame, groups: int, quantiles: Specs, limits: Limits) -> list[dict[str, list[float] | None]]:
+    """Quantiles of the groups numbered by ``__g``, a few metrics at a time."""
+    answers: list[dict[str, list[float] | None]] = [{} for _ in range(groups)]
+    batch: dict = {}
+    size = 0
+    for i, (a, spec) in enumerate(quantiles.items()):
+        batch[a] = spec
+        size += 2 * len(spec[1])
+        if size >= _RANKS_AT_ONCE or i == len(quantiles) - 1:
+            for into, part in zip(answers, _counted_batch(df, groups, batch, limits)):
+                into.update(part)
+            batch, size = {}, 0
+    return answers
+
+
+def _counted_batch(df: DataFrame, groups: int, quantiles: Specs, limits: Limits) -> list[dict[str, list[float] | None]]:
+    """Brackets travel as literals: each round is one scan with a small partial
+    aggregation, without join or copy.  Only the picked buckets come back to
+    the driver, at most one per rank.
+    """
+    names = list(quantiles)
+    values = df.select("__g", *[clip(number(quantiles[a][0]), -_TOP, _TOP).alias(f"v{i}") for i, a in enumerate(names)])
+    measured = ((t, f, i) for i in range(len(names)) for t, f in (("n", F.count), ("lo", F.min), ("hi", F.max)))
+    ends = values.groupBy("__g").agg(*[f(f"v{i}").alias(f"{t}{i}") for t, f, i in measured]).collect()
+    positions = {
+        (row["__g"], i): [p * (row[f"n{i}"] - 1) for p in quantiles[a][1]]
+        for row in ends
+        for i, a in enumerate(names)
+        if row[f"n{i}"] > 0
+    }
+    extent = {(row["__g"], i): (row[f"lo{i}"], row[f"hi{i}"], row[f"n{i}"]) for row in ends for i in range(len(names))}
+    brackets = [
+        _Bracket(g, i, lo, hi, 0, n, {r for p in ps for r in (math.floor(p), math.ceil(p))})
+        for (g, i), ps in positions.items()
+        for lo, hi, n in [extent[g, i]]
+    ]
+    found: dict[tuple[int, int, int], float] = {}
+    turn = 0
+    while True:
+        found.update({(b.group, b.metric, r): b.lo for b in brackets if b.lo == b.hi for r in b.ranks})
+        brackets = [b for b in brackets if b.lo < b.hi]
+        if not brackets:
+            break
+        # Once every bracket fits one task, single values take the place of buckets.
+        by_value = all(b.inside <= limits.group_rows // 10 for b in brackets)
+        brackets = _narrowed(values, groups, brackets, by_value, turn == 0, limits.buckets)
+        turn += 1
+
+    def mix(g: int, i: int, p: float) -> float:
+        lo, hi = _unclamp(found[g, i, math.floor(p)]), _unclamp(found[g, i, math.ceil(p)])
+        w = p - math.floor(p)
+        return lo if lo == hi else (1 - w) * lo + w * hi
+
+    return [
+        {a: [mix(g, i, p) for p in positions[g, i]] if (g, i) in positions else None for i, a in enumerate(names)}
+        for g in range(groups)
+    ]
+
+
+def _narrowed(
+    values: DataFrame, groups: int, brackets: list[_Bracket], by_value: bool, log: bool, buckets: int
+) -> list[_Bracket]:
+    """One round: count the buckets of every bracket and keep those that hold a rank."""
+    slots: dict[tuple[int, int], list[int]] = {}
     for k, b in enumerate(brackets):
-        v = F.col(f"v{b.metric}")
-        within = F.when(v.between(b.lo, b.hi), v)
-        bucket = F.lit(0) if by_value else _scaled(v, F.lit(b.lo), F.lit(b.hi), log, buckets)
-        entries.append(F.struct(F.lit(k).alias("k"), within.alias("v"), bucket.alias("bucket")))
-    rows = values.select(F.inline(F.array(*entries))).filter(F.col("v").isNotNull())
+        slots.setdefault((b.group, b.metric), []).append(k)
+    entries, hits = [], []
+    for metric in sorted({b.metric for b in brackets}):
+        v = F.col(f"v{metric}")
+        depth = max(len(ks) for (_, m), ks in slots.items() if m == metric)
+        for slot in range(depth):
+            # The bracket in this slot for each group, looked up by group number.
+            ks = [slots.get((g, metric), [])[slot : slot + 1] for g in range(groups)]
+            pick = lambda of, kind: F.get(
+                F.array(*[F.lit(of(x[0]) if x else None).cast(kind) for x in ks]), F.col("__g")
+            )
+            k = pick(lambda j: j, "int")
+            lo, hi = pick(lambda j: brackets[j].lo, "double"), pick(lambda j: brackets[j].hi, "double")
+            within = F.when(v.between(lo, hi), v)
+            bucket = F.lit(0) if by_value else _scaled(v, lo, hi, log, buckets)
+            entries.append(F.struct(k.alias("k"), within.alias("v"), bucket.alias("bucket")))
+            hits.append(within.isNotNull())
+    rows = values.filter(reduce(lambda x, y: x | y, hits)).select(F.inline(F.array(*entries)))
     step = "v" if by_value else "bucket"
-    counted = rows.groupBy("k", step).agg(
+    counted = rows.filter(F.col("v").isNotNull()).groupBy("k", step).agg(
         F.count(F.lit(1)).alias("n"), *([] if by_value else [F.min("v").alias("lo"), F.max("v").alias("hi")])
     )
     if by_value:
         counted = counted.select("*", F.col("v").alias("lo"), F.col("v").alias("hi"))
     counted = counted.withColumn("upto", F.sum("n").over(W.partitionBy("k").orderBy(step)))
-    hit = F.lit(False)
-    for k, b in enumerate(brackets):
-        for r in sorted(b.ranks):
-            here = (F.col("upto") > r - b.below) & (F.col("upto") - F.col("n") <= r - b.below)
-            hit = hit | ((F.col("k") == k) & here)
+    # Ranks counted from the lower end of their own bracket.
+    inner = F.array(*[F.array(*[F.lit(r - b.below) for r in sorted(b.ranks)]) for b in brackets])
+    holds = F.exists(F.get(inner, F.col("k")), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
     narrowed = []
-    for row in counted.filter(hit).collect():
+    for row in counted.filter(holds).collect():
         b = brackets[row["k"]]
         below = b.below + row["upto"] - row["n"]
         ranks = {r for r in b.ranks if below <= r < below + row["n"]}
-        narrowed.append(_Bracket(b.metric, row["lo"], row["hi"], below, row["n"], ranks))
+        narrowed.append(_Bracket(b.group, b.metric, row["lo"], row["hi"], below, row["n"], ranks))
     return narrowed
 
 
