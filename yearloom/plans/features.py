@@ -43,7 +43,9 @@ def engineered(
     come from partial aggregation and return by broadcast when they are small.
     """
     panel = with_region(panel, roles, settings)
-    regions = materialise(region_stats(panel, roles, limits), "region-stats")
+    # Two narrow columns, so that finding the medians does not match names again.
+    by_region = materialise(panel.select("facility_region", roles.volume), "region-volumes")
+    regions = materialise(region_stats(by_region, roles, limits), "region-stats")
     entities = list(all_entity_means(panel, roles).items())
     wide = temporal_features(panel, roles, settings, limits)
     return join_stats(wide, [("facility_region", regions), *entities], limits)

@@ -146,9 +146,10 @@ def _counted_batch(df: DataFrame, groups: int, quantiles: Specs, limits: Limits)
     the driver, at most one per rank.
     """
     names = list(quantiles)
-    values = df.select("__g", *[clip(number(quantiles[a][0]), -_TOP, _TOP).alias(f"v{i}") for i, a in enumerate(names)])
+    values = df.select("__g", *[quantiles[a][0].cast("double").alias(f"v{i}") for i, a in enumerate(names)])
     measured = ((t, f, i) for i in range(len(names)) for t, f in (("n", F.count), ("lo", F.min), ("hi", F.max)))
-    ends = values.groupBy("__g").agg(*[f(f"v{i}").alias(f"{t}{i}") for t, f, i in measured]).collect()
+    clean = lambda i: clip(number(F.col(f"v{i}")), -_TOP, _TOP)
+    ends = values.groupBy("__g").agg(*[f(clean(i)).alias(f"{t}{i}") for t, f, i in measured]).collect()
     positions = {
         (row["__g"], i): [p * (row[f"n{i}"] - 1) for p in quantiles[a][1]]
         for row in ends
@@ -196,20 +197,33 @@ def _narrowed(
         v = F.col(f"v{metric}")
         depth = max(len(ks) for (_, m), ks in slots.items() if m == metric)
         for slot in range(depth):
-            # The bracket in this slot for each group, looked up by group number.
-            ks = [slots.get((g, metric), [])[slot : slot + 1] for g in range(groups)]
-            pick = lambda of, kind: F.get(
-                F.array(*[F.lit(of(x[0]) if x else None).cast(kind) for x in ks]), F.col("__g")
+            # The bracket in this slot, for one group as plain numbers and for
+            # more as arrays over the group number.
+            ks = [(slots.get((g, metric), [])[slot : slot + 1] or [None])[0] for g in range(groups)]
+            pick = lambda of, kind: _by_group(
+                [None if k is None else of(brackets[k]) for k in ks], kind
             )
-            k = pick(lambda j: j, "int")
-            lo, hi = pick(lambda j: brackets[j].lo, "double"), pick(lambda j: brackets[j].hi, "double")
-            within = F.when(v.between(lo, hi), v)
-            bucket = F.lit(0) if by_value else _scaled(v, lo, hi, log, buckets)
-            entries.append(F.struct(k.alias("k"), within.alias("v"), bucket.alias("bucket")))
-            hits.append(within.isNotNull())
-    rows = values.filter(reduce(lambda x, y: x | y, hits)).select(F.inline(F.array(*entries)))
+            # Plain comparisons on the raw column keep the generated code short;
+            # NaN and null fail them.
+            within = v.between(pick(lambda b: _unclamp(b.lo), "double"), pick(lambda b: _unclamp(b.hi), "double"))
+            if by_value:
+                bucket = F.lit(0.0)
+            else:
+                start, scale = pick(lambda b: _axis(b, log, buckets)[0], "double"), pick(
+                    lambda b: _axis(b, log, buckets)[1], "double"
+                )
+                bucket = ((F.signum(v) * F.log1p(F.abs(v)) if log else v * 0.5) - start) * scale
+            entries.append(F.struct(_by_group(ks, "int").alias("k"), v.alias("v"), F.when(within, bucket).alias("bucket")))
+            hits.append(within)
+    # In the first round every row is inside some bracket.
+    rows = (values if log else values.filter(reduce(lambda x, y: x | y, hits))).select(F.inline(F.array(*entries)))
+    # Any monotone bucket is right: the limits only absorb rounding at the ends.
+    bounded = F.greatest(F.lit(0.0), F.least(F.lit(buckets - 1.0), F.floor("bucket").cast("double")))
+    rows = rows.filter(F.col("bucket").isNotNull()).select(
+        "k", clip("v", -_TOP, _TOP).alias("v"), bounded.cast("int").alias("bucket")
+    )
     step = "v" if by_value else "bucket"
-    counted = rows.filter(F.col("v").isNotNull()).groupBy("k", step).agg(
+    counted = rows.groupBy("k", step).agg(
         F.count(F.lit(1)).alias("n"), *([] if by_value else [F.min("v").alias("lo"), F.max("v").alias("hi")])
     )
     if by_value:
@@ -227,6 +241,22 @@ def _narrowed(
     return narrowed
 
 
+def _by_group(numbers: list, kind: str) -> Column:
+    columns = [F.lit(n).cast(kind) for n in numbers]
+    return columns[0] if len(columns) == 1 else F.get(F.array(*columns), F.col("__g"))
+
+
+def _axis(b: _Bracket, log: bool, buckets: int) -> tuple[float, float]:
+    """Start and buckets per unit of a bracket; halves keep the width finite.
+
+    Without a usable width everything above the lowest value is one bucket.
+    """
+    turn = (lambda x: math.copysign(math.log1p(abs(x)), x)) if log else (lambda x: x * 0.5)
+    width = turn(b.hi) - turn(b.lo)
+    scale = buckets / width if width > 0 else math.inf
+    return turn(b.lo), min(scale, 1e300)
+
+
 def _unclamp(x: float) -> float:
     return math.copysign(math.inf, x) if abs(x) == _TOP else x
 
