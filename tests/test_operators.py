@@ -156,7 +156,7 @@ def test_gaps_and_ties_use_the_previous_present_row(make_panel):
 
 def test_flags_and_interactions(make_panel):
     df = make_panel([(2019, "a", "40", "1", "M", 3), (2020, "a", "40", "1", "M", 6), (2023, "a", "9", "1", "M", 6)])
-    wide = windows.temporal_features(df).orderBy("yr")
+    wide = windows.readable_keys(windows.temporal_features(df)).orderBy("yr")
     got = rows_of(wide, "covid_period", "respiratory_drg", "covid_respiratory_impact", "prev_year_impact", "facility_drg_key")
     assert got == [(0, 1, 0, None, "a_40_1"), (1, 1, 1, 3.0, "a_40_1"), (0, 0, 0, None, "a_9_1")]
     months = df.withColumn("month", F.col("yr") - 2017)
@@ -172,6 +172,14 @@ def test_window_plan_has_one_shuffle(small_panel):
     assert "Python" not in plan
 
 
+def test_feature_plan_shuffles_the_facts_once(small_panel):
+    from yearloom.plans.features import engineered
+
+    plan = engineered(small_panel)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("BroadcastHashJoin") == 4 and "SortMergeJoin" not in plan
+
+
 # -- quality --------------------------------------------------------------------
 
 

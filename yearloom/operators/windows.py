@@ -92,9 +92,12 @@ def temporal_features(
     limits: Limits = DEFAULT_LIMITS,
     month: str | None = None,
 ) -> DataFrame:
-    """All of the above in the order that keeps their meaning, with the readable panel key."""
+    """All of the above in the order that keeps their meaning."""
     wide = growth_flag(panel_changes(df, roles, limits), roles)
     wide = interactions(event_flags(wide, roles, settings, month), roles)
-    return fill_changes(wide, roles).withColumns(
-        {"facility_drg_key": panel_key(roles.keys), "year_cat": F.col(roles.time).cast("string")}
-    )
+    return fill_changes(wide, roles)
+
+
+def readable_keys(df: DataFrame, roles: PanelRoles = DEFAULT_ROLES) -> DataFrame:
+    """The panel key as one text and the year as text; labels, never features."""
+    return df.withColumns({"facility_drg_key": panel_key(roles.keys), "year_cat": F.col(roles.time).cast("string")})

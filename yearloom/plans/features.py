@@ -10,7 +10,7 @@ from ..operators import quality
 from ..operators.profile import numeric_columns
 from ..operators.stats import all_entity_means, join_stats, region_stats, with_region
 from ..operators.totals import dense_totals, totals_changes
-from ..operators.windows import temporal_features
+from ..operators.windows import readable_keys, temporal_features
 from ..roles import DEFAULT_LIMITS, DEFAULT_ROLES, DEFAULT_SETTINGS, Limits, PanelRoles, Settings
 from ..scale import materialise
 
@@ -37,33 +37,33 @@ def engineered(
     settings: Settings = DEFAULT_SETTINGS,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Region, temporal and entity features on a written panel.
+    """Temporal, region and entity features on a written panel, without equal rows.
 
-    The fact table is shuffled once, by panel key, for the window; statistics
-    come from partial aggregation and return by broadcast when they are small.
+    The fact table is shuffled once, by panel key, for the window.  The med/surg
+    code then goes and equal rows are dropped in that same partitioning, since
+    the keys are part of the row.  Everything added afterwards follows from
+    columns already there (key averages, region, text keys), so it cannot make
+    equal rows differ, and the grouping stays narrow.
     """
-    panel = with_region(panel, roles, settings)
     # Two narrow columns, so that finding the medians does not match names again.
-    by_region = materialise(panel.select("facility_region", roles.volume), "region-volumes")
+    by_region = materialise(
+        with_region(panel, roles, settings).select("facility_region", roles.volume), "region-volumes"
+    )
     regions = materialise(region_stats(by_region, roles, limits), "region-stats")
     entities = list(all_entity_means(panel, roles).items())
     wide = temporal_features(panel, roles, settings, limits)
-    return join_stats(wide, [("facility_region", regions), *entities], limits)
+    rows = quality.drop_equal_rows(wide.drop(roles.extra_key))
+    rows = readable_keys(with_region(rows, roles, settings), roles)
+    return join_stats(rows, [("facility_region", regions), *entities], limits)
 
 
 def repaired(
-    wide: DataFrame,
+    rows: DataFrame,
     roles: PanelRoles = DEFAULT_ROLES,
     settings: Settings = DEFAULT_SETTINGS,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Equal rows, swaps, unusual changes, negatives, bins and caps.
-
-    The med/surg code goes before equal rows are dropped.  The keys stay: the
-    readable key implies them, so they change no result, and with them Spark
-    can drop duplicates in the window's own partitioning.
-    """
-    rows = quality.drop_equal_rows(wide.drop(roles.extra_key))
+    """Swaps, unusual changes, negatives, bins and caps on rows without duplicates."""
     for cost, charge in zip(roles.costs[:1], roles.charges[:1]):
         rows = quality.swap_severe(rows, cost, charge, settings.swap_ratio)
     change = f"yoy_{roles.volume}_change"

@@ -125,10 +125,6 @@ def changes(p: DataFrame) -> DataFrame:
     return windows.panel_changes(p)
 
 
-def temporal(p: DataFrame) -> DataFrame:
-    return windows.temporal_features(p, settings=S)
-
-
 def season_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = table(spark, sf_dir, "lineitem").select(
         F.year("l_shipdate").alias("yr"), F.month("l_shipdate").alias("mon")
