@@ -43,7 +43,7 @@ def create_file(folder: str, name: str, suffix: str):
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
     name = f"{name}-{uuid.uuid4().hex}{suffix}"
-    return f"{folder}/{name}", store.open_output_stream(f"{path}/{name}")
+    return f"{folder}/{name}", store.open_output_stream(f"{path}/{name}", compression=None)
 
 
 def open_file(path: str) -> pa.NativeFile:
