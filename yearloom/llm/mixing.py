@@ -84,18 +84,16 @@ def fit_counts(lengths: list[tuple[int, int]], budget: int) -> dict[int, int]:
 def _knapsack(lengths: list[tuple[int, int]], picked: dict[int, int], left: int) -> dict[int, int]:
     """Fills ``left`` exactly if possible, else as far as possible, from the documents not picked.
 
-    One pick of each short length is given back first, so that there is always
-    something to choose from; that bounds what is filled by a few of the longest
-    documents.
+    Picks of short lengths, one of each in turn, are given back first, so that
+    there is always something to choose from; that bounds what is filled by a
+    few of the longest documents.
     """
-    released, longest = 0, lengths[-1][0]
-    for n, _ in lengths:
-        if released >= 2 * longest:
-            break
-        if picked[n]:
-            picked[n] -= 1
-            released += n
-    left += released
+    goal = left + 2 * lengths[-1][0]
+    while left < goal and any(picked.values()):
+        for n, _ in lengths:
+            if left < goal and picked[n]:
+                picked[n] -= 1
+                left += n
     mask, sums, steps = (1 << (left + 1)) - 1, 1, []
     for n, c in lengths:
         if sums >> left & 1 or n > left:

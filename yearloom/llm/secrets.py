@@ -26,6 +26,8 @@ from yearloom.scale.written import materialise
 
 #: Strings that a run of a pattern may stand for before it is cut; more would only weaken a query, never a result.
 MOST_STRINGS = 64
+#: Characters of a class that is spelt out in trigrams.
+MOST_LETTERS = 8
 #: Candidates are sent to every task only while they are fewer than this; else the join is by shuffle.
 BROADCAST_CANDIDATES = 200_000
 
@@ -68,11 +70,11 @@ def _letters(items) -> set[str] | None:
     for kind, value in items:
         if kind is sre.LITERAL:
             out.add(chr(value).lower())
-        elif kind is sre.RANGE and value[1] - value[0] < MOST_STRINGS:
+        elif kind is sre.RANGE and value[1] - value[0] < MOST_LETTERS:
             out |= {chr(c).lower() for c in range(value[0], value[1] + 1)}
         else:
             return None
-    return out
+    return out if len(out) <= MOST_LETTERS else None
 
 
 def trigram_query(pattern: str) -> Query:

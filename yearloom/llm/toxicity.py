@@ -47,8 +47,9 @@ LEXICON = {
 FIT_ROWS = 20_000
 #: Lengths of the word beginnings that can become cues, besides whole words.
 STEMS = (3, 4, 5, 6)
-#: Documents of the fitting part that a cue is in at least, and the least log odds of a strong and a weak cue.
-CUE_DOCS, STRONG, WEAK = 6, 4.0, 2.0
+#: Documents of the fitting part that a cue is in at least, and the log odds that a strong and a weak cue keep, two
+#: standard errors taken off, so that chance in small samples makes no cue.
+CUE_DOCS, STRONG, WEAK = 6, 2.5, 1.5
 #: Cues of the model at most, the most telling first.
 CUES = 5_000
 #: Words that a worker remembers; beyond that it forgets all, which changes no result.
@@ -222,13 +223,14 @@ def _cues(sample: DataFrame) -> dict[str, str]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, toxic = Counter(), Counter()
         cache: dict[str, set[str]] = {}
+        known = {w for words in LEXICON.values() for w in words.split()}  # these count as they are
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own: set[str] = set()
                 for raw in set((text or "").lower().split()):
                     if raw not in cache:
                         word = bare(raw)
-                        cache[raw] = stems(word) if len(word) > 2 and word.isalpha() else set()
+                        cache[raw] = stems(word) if len(word) > 2 and word.isalpha() and word not in known else set()
                     own |= cache[raw]
                 seen.update(own)
                 if label:
@@ -244,7 +246,8 @@ def _cues(sample: DataFrame) -> dict[str, str]:
     if not base["n"] or not base["t"]:
         return {}
     prior = math.log((base["t"] + 0.5) / (base["n"] - base["t"] + 0.5))
-    odds = F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5)) - prior
+    t, rest = F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5
+    odds = F.log(t / rest) - prior - 2 * F.sqrt(1 / t + 1 / rest)
     sums = rows.select("text", "toxic").mapInArrow(count, "cue string, n long, t long").groupBy("cue").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     best = sums.filter(F.col("n") >= CUE_DOCS).withColumn("odds", odds).filter(F.col("odds") >= WEAK)
     best = best.orderBy(F.desc(F.col("odds") * F.sqrt("t")), "cue").limit(CUES)

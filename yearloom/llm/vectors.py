@@ -17,7 +17,7 @@ a block gives link counts and a spanning forest, never its pairs.
 
 from __future__ import annotations
 
-from math import acos, comb, erf, log, log2, pi, sqrt
+from math import acos, ceil, comb, erf, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +53,7 @@ def table_shape(rows: int, cosine: float, block_rows: int = BLOCK_ROWS, recall:
     """(tables, signs) for a label of ``rows`` vectors."""
     signs = max(0, round(log2(max(rows, 1) / block_rows)))
     agree = (1 - acos(cosine) / pi) ** signs
-    return (1 if signs == 0 else -int(-log(1 - recall) // -log(1 - agree))), signs
+    return (ceil(log(1 - recall) / log(1 - agree)) if signs else 1), signs
 
 
 def _lines(n: int, size: int, seed: int) -> np.ndarray:
