@@ -143,6 +143,10 @@ def predecessors(docs: DataFrame) -> DataFrame:
     return linked.select("doc_id", "h", link["p_id"].alias("p_id"), link["p_h"].alias("p_h"), link["p_n"].alias("p_n"))
 
 
+def _key(doc_id: str) -> list[Column]:
+    return [F.coalesce(doc_id, F.lit(0)).alias("k"), F.col(doc_id).isNull().alias("no_id")]
+
+
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of each document, of an edited copy, and how like it the edited copy and the next document are.
 
@@ -155,19 +159,21 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     links = materialise(predecessors(rows), "doc-links")
-    keyed = rows.withColumn("h", F.xxhash64("text"))
-    here = keyed.join(
-        links.withColumnsRenamed({"doc_id": "l_id", "h": "l_h"}), F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("h") == F.col("l_h"))
-    )
-    number = F.row_number().over(Window.partitionBy("l_id", "l_h").orderBy("l_h"))
+    # Plain key columns, so that both joins and the window share one exchange of the texts.
+    key = ["k", "no_id", "h"]
+    keyed = rows.select(*_key("doc_id"), "text", F.xxhash64("text").alias("h"))
+    here = keyed.join(links.select(*_key("doc_id"), "h", "p_id", "p_h", "p_n"), key)
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("h"))  # rows alike are one document
     gives = here.withColumn("number", number).filter("number = 1").select(
-        "p_id", "p_h", F.substring("text", F.lit(1), F.floor(F.col("p_n") / 2).cast("int")).alias("tail"), fingerprint(F.col("text")).alias("next_fingerprint")
-    )
-    both = keyed.join(gives, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("h") == F.col("p_h")))
+        *_key("p_id"), F.col("p_h").alias("h"),
+        F.substring("text", F.lit(1), F.floor(F.col("p_n") / 2).cast("int")).alias("tail"),
+        fingerprint(F.col("text")).alias("next_fingerprint"),
+    )
+    both = keyed.join(gives, key)
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), F.col("tail"))
     prints = both.withColumn("edited", edited).select(
-        "doc_id",
+        F.when(~F.col("no_id"), F.col("k")).alias("doc_id"),
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("text")).alias("fingerprint"),
