@@ -139,7 +139,7 @@ def test_whole_analysis_from_csv(spark, small_panel, tmp_path):
     small_panel.select(*[F.col(c).alias(names[c]) for c in small_panel.columns]).write.option("header", True).csv(source)
     out = str(tmp_path / "out")
     report = run_analysis(
-        spark, source, out, settings=replace(PANEL_SETTINGS, split_sample=500), boost=models.BoostSettings(rounds=2, depth=3)
+        spark, source, out, settings=replace(PANEL_SETTINGS, train_sample=500), boost=models.BoostSettings(rounds=2, depth=3)
     )
     assert report.count() == 5
     summary = spark.read.option("header", True).csv(f"{out}/model_performance_summary.csv")
@@ -151,4 +151,20 @@ def test_whole_analysis_from_csv(spark, small_panel, tmp_path):
     assert spark.read.parquet(f"{out}/shap_summary_discharges_prediction").count() == 10
     assert spark.read.parquet(f"{out}/shap_dependence_mean_cost_prediction").count() == 300
     assert spark.read.parquet(f"{out}/feature_importance_total_drg_discharges_prediction").count() == 3
-    assert spark.read.parquet(f"{out}/predictions_vs_actual").select("model_name").distinct().count() == 5
+    pairs = spark.read.parquet(f"{out}/predictions_vs_actual")
+    assert pairs.select("model_name").distinct().count() == 5
+    # The sample bounds what a model is fitted on; every test row is scored.
+    tested = small_panel.filter("yr = 1999").drop("med_surg_code").distinct().count()
+    assert tested > 500 and pairs.filter("model_name = 'Discharges Prediction'").count() == tested
+    assert spark.read.parquet(f"{out}/profile_types").count() == 11
+    assert spark.read.parquet(f"{out}/quality_cost_above_charge").first()["n_illogical"] > 0
+
+
+def test_what_a_run_wrote_is_deleted(spark):
+    from yearloom.scale import materialise, release, written_so_far
+
+    mark = written_so_far()
+    path = materialise(spark.range(3), "gone").inputFiles()[0]
+    assert release(spark, mark) == 1
+    with pytest.raises(Exception, match="(?i)not.exist|FileNotFound"):
+        spark.read.parquet(path).count()

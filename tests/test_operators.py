@@ -266,12 +266,12 @@ def test_code_change(spark):
 
 
 @pytest.mark.parametrize("wide", [128, 0])
-def test_dense_grid(spark, monkeypatch, wide):
-    monkeypatch.setattr(totals, "_WIDE_YEARS", wide)
-    df = spark.createDataFrame([("a", 1, 4.0), ("a", 2, 1.0), ("a", 1, 1.0), ("b", 1, 3.0), (None, 2, 9.0)], "k string, yr int, v double")
-    grid = totals.dense_totals(df, "k", "yr", "v")
+def test_dense_grid(spark, wide):
+    limits = Limits(wide_years=wide)
+    df = spark.createDataFrame([("a", 1, 4.0), ("a", 2, 1.0), ("a", 1, 1.0), ("b", 1, 3.0), (None, 2, 9.0), ("c", None, 7.0)], "k string, yr int, v double")
+    grid = totals.dense_totals(df, "k", "yr", "v", limits=limits)
     got = sorted(rows_of(totals.totals_changes(grid, "k", "yr"), "k", "yr", "total_discharges", "prev_year_discharges", "yoy_change"))
-    assert got == [("a", 1, 5.0, 0.0, 0.0), ("a", 2, 1.0, 5.0, -0.8), ("b", 1, 3.0, 0.0, 0.0), ("b", 2, 0.0, 3.0, -1.0)]
+    assert got == [("a", 1, 5.0, 0.0, 0.0), ("a", 2, 1.0, 5.0, -0.8), ("b", 1, 3.0, 0.0, 0.0), ("b", 2, 0.0, 3.0, -1.0), ("c", 1, 0.0, 0.0, 0.0), ("c", 2, 0.0, 0.0, 0.0)]
 
 
 @quick

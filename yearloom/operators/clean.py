@@ -16,9 +16,9 @@ def as_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in columns})
 
 
-def as_measures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Parse text to double; what is no number becomes 0."""
-    return df.withColumns({c: zero_if_null(parse_number(c)) for c in columns})
+def as_measures(df: DataFrame, columns: Sequence[str], allow_infinity: bool = True) -> DataFrame:
+    """Parse text to double; what is no number becomes 0, infinity stays for the repair to see."""
+    return df.withColumns({c: zero_if_null(parse_number(c, allow_infinity)) for c in columns})
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -43,6 +43,7 @@ def clean_panel(df: DataFrame, roles: PanelRoles = DEFAULT_ROLES) -> DataFrame:
     A year that is no number becomes 0, like any measure.  A missing label
     stays null.
     """
-    typed = as_labels(as_measures(df, [roles.time, *roles.measures]), roles.codes)
+    typed = as_measures(as_measures(df, roles.measures), [roles.time], allow_infinity=False)
+    typed = as_labels(typed, roles.codes)
     typed = typed.withColumn(roles.time, F.col(roles.time).try_cast("int"))
     return impute_mode(typed, roles.codes)

@@ -79,11 +79,6 @@ def fit_encodings(df: DataFrame, columns: Sequence[str], limits: Limits = DEFAUL
     return [DropFirstEncoding.fit(df, c, limits) for c in columns]
 
 
-def numeric_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Every feature as a double without nulls; text features become 0."""
-    return df.select(*[F.col(c) for c in keep], *[as_feature(c).alias(f"f_{c}") for c in features])
-
-
 def assemble(
     df: DataFrame,
     features: Sequence[str],

@@ -18,6 +18,8 @@ from .models import metrics
 SAMPLE_ROWS = 300
 BACKGROUND_ROWS = 100
 TOP_FEATURES = 10
+# Rows of a sample up to which it is sent to every task instead of shuffled.
+SMALL_ROWS = 1000
 
 
 def explain_sample(
@@ -56,13 +58,13 @@ def shapley_values(
     the mean score over the background is that feature's share.  The sum over
     features is the row's score minus the mean background score.  Both inputs
     are samples of a fixed size, so the work does not depend on the panel; it
-    is spread over all cores by (row, order).
+    is spread over all cores by (row, order).  Larger samples are joined by
+    shuffle and cost rows x orders x features x background scores.
     """
     spark = rows.sparkSession
     count = len(names)
     size = background.count()
-    if size > BACKGROUND_ROWS * 10:
-        raise ValueError("the background is broadcast; keep it to a small sample")
+    small = lambda df, n: F.broadcast(df) if n <= SMALL_ROWS else df
     drawn = F.transform(
         F.sequence(F.lit(0), F.lit(count - 1)),
         lambda j: F.struct(F.xxhash64(F.lit(seed), "row_id", "walk", j).alias("h"), j.alias("j")),
@@ -80,7 +82,7 @@ def shapley_values(
     )
     cases = steps.select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("background_id")
-    ).join(F.broadcast(background), "background_id")
+    ).join(small(background, size), "background_id")
     mixed = F.transform(
         F.sequence(F.lit(0), F.lit(count - 1)),
         lambda j: F.when(F.get("place", j) <= F.col("step"), F.get("x", j)).otherwise(F.get("z", j)),
@@ -92,7 +94,7 @@ def shapley_values(
     shares = shares.withColumn("feature_index", F.element_at(order, F.col("step")))
     phi = shares.groupBy("row_id", "feature_index").agg(F.avg("change").alias("phi"))
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("feature_index") + 1)
-    return phi.join(F.broadcast(rows), "row_id").select(
+    return phi.join(small(rows, rows.count()), "row_id").select(
         "row_id",
         "feature_index",
         label.alias("feature"),

@@ -46,12 +46,10 @@ def sampled_split(
     time: str,
     test_time: int,
     identity: Sequence[str],
-    n: int | None = DEFAULT_SETTINGS.split_sample,
+    n: int | None = DEFAULT_SETTINGS.train_sample,
     seed: int = 42,
     limits: Limits = DEFAULT_LIMITS,
 ) -> tuple[DataFrame, DataFrame]:
-    """The split with at most ``n`` rows per part; ``n=None`` keeps every row."""
+    """The split with at most ``n`` rows to fit on and every row to test on; ``n=None`` fits on all."""
     train, test = temporal_split(df, time, test_time)
-    if n is None:
-        return train, test
-    return sample_rows(train, n, identity, seed, limits), sample_rows(test, n, identity, seed, limits)
+    return (train if n is None else sample_rows(train, n, identity, seed, limits)), test

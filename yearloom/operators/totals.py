@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import relative_change, zero_if_null
 from ..roles import DEFAULT_LIMITS, Limits
 
-# Above this many years one sum per year would make the generated code too long.
-_WIDE_YEARS = 128
-
 
 def dense_totals(
     df: DataFrame, key: str, time: str, volume: str, name: str = "total_discharges", limits: Limits = DEFAULT_LIMITS
@@ -20,25 +18,26 @@ def dense_totals(
 
     One conditional sum per year puts the whole grid row of a key into a single
     aggregation, so the fact table is shuffled once, after map-side combining,
-    and no key-by-year product is ever joined.
+    and no key-by-year product is ever joined.  With many years each key gets a
+    map of its sums instead.  A key whose times are all null has zeros only.
     """
-    found = df.select(time).filter(F.col(time).isNotNull()).distinct().orderBy(time)
-    times = [r[0] for r in found.limit(limits.scalar_rows + 1).collect()]
-    if len(times) > limits.scalar_rows:
-        raise ValueError(f"{time} has more than {limits.scalar_rows} distinct values; is it the time column?")
+    found = df.select(time).filter(F.col(time).isNotNull()).distinct()
+    times = sorted(r[0] for r in found.collect())  # the axis: one value per year, and every key has them all
     df = df.filter(F.col(key).isNotNull())
     if not times:
         return df.select(key, time, F.lit(0.0).alias(name)).limit(0)
     axis = df.schema[time].dataType
     year = lambda t: F.lit(t).cast(axis).alias(time)
-    if len(times) <= _WIDE_YEARS:
+    if len(times) <= limits.wide_years:
         sums = [F.sum(F.when(F.col(time) == F.lit(t), F.col(volume))).alias(f"__t{i}") for i, t in enumerate(times)]
         cells = [F.struct(year(t), zero_if_null(f"__t{i}").alias(name)) for i, t in enumerate(times)]
         return df.groupBy(key).agg(*sums).select(key, F.inline(F.array(*cells)))
     # Many years: at most one entry per year in each key's map.
-    sums = df.groupBy(key, time).agg(F.sum(volume).alias(name)).filter(F.col(time).isNotNull())
-    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(time, name))).alias("__m"))
-    grid = maps.select(key, "__m", F.explode(F.array(*[year(t) for t in times])).alias(time))
+    sums = df.groupBy(key, time).agg(F.sum(volume).alias(name))
+    entry = F.when(F.col(time).isNotNull(), F.struct(time, name))
+    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("__m"))
+    axis_values = F.lit(times).cast(ArrayType(axis))
+    grid = maps.select(key, "__m", F.explode(axis_values).alias(time))
     return grid.select(key, time, zero_if_null(F.try_element_at("__m", F.col(time))).alias(name))
 
 

@@ -17,7 +17,8 @@ PANEL_SETTINGS = Settings(
     cap_above=5e4,
 )
 
-_PANELS: dict[tuple[str, str], DataFrame] = {}
+_PANELS: dict[tuple, DataFrame] = {}
+_INPUTS = ("region", "nation", "supplier", "part", "lineitem")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,9 +79,18 @@ def derive_panel(spark: SparkSession, sf_dir: str, limits: Limits = DEFAULT_LIMI
     )
 
 
+def state(spark: SparkSession, sf_dir: str) -> tuple:
+    """The application and the input files with their sizes and times: what is kept by it is never stale."""
+    files = set()
+    for name in _INPUTS:
+        meta = table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        files |= {tuple(r) for r in meta.distinct().collect()}
+    return spark.sparkContext.applicationId, sf_dir, frozenset(files)
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived panel, written once per application and scanned by every later step."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = state(spark, sf_dir)
     if key not in _PANELS:
         _PANELS[key] = materialise(derive_panel(spark, sf_dir).select(*DEFAULT_ROLES.columns), "panel")
     return _PANELS[key]

@@ -8,7 +8,7 @@ KEYS = "facility_id, drg_code, severity_code"
 ID = f"{KEYS}, med_surg_code, yr"
 
 PANEL = """
-panel as (
+panel as materialized (
   select cast(l_suppkey as varchar) as facility_id,
          concat(s_name, ' ', upper(r_name)) as facility_name,
          regexp_extract(p_brand, '([0-9]+)', 1) as drg_code,
@@ -89,21 +89,21 @@ def with_panel(select: str, *ctes: str) -> str:
     return "with " + ", ".join([PANEL, *ctes]) + " " + select
 
 
-def r6(expression: str, name: str | None = None) -> str:
-    return f"round(({expression}) + 2e-8, 6) as {name or expression}"
+def r6(expression: str, name: str | None = None, places: int = 6) -> str:
+    return f"round({expression}, {places}) as {name or expression}"
 
 
 def means(key: str, prefix: str) -> str:
-    columns = ", ".join(r6(f"avg({m})", f"{prefix}_avg_{m}") for m in MEASURES)
+    columns = ", ".join(r6(f"avg({m})", f"{prefix}_avg_{m}", 4) for m in MEASURES)
     return with_panel(f"select {key}, {columns} from panel group by 1")
 
 
 def describe() -> str:
     one = (
-        "select '{c}' as column_name, count({c}) as n, round(avg({c}) + 2e-8, 6) as mean, round(stddev_samp({c}) + 2e-8, 6) as std, "
-        "round(cast(min({c}) as double) + 2e-8, 6) as low, round(quantile_cont(cast({c} as double), 0.25) + 2e-8, 6) as p25, "
-        "round(quantile_cont(cast({c} as double), 0.5) + 2e-8, 6) as p50, round(quantile_cont(cast({c} as double), 0.75) + 2e-8, 6) as p75, "
-        "round(cast(max({c}) as double) + 2e-8, 6) as high from panel"
+        "select '{c}' as column_name, count({c}) as n, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, "
+        "round(cast(min({c}) as double), 6) as low, round(quantile_cont(cast({c} as double), 0.25), 6) as p25, "
+        "round(quantile_cont(cast({c} as double), 0.5), 6) as p50, round(quantile_cont(cast({c} as double), 0.75), 6) as p75, "
+        "round(cast(max({c}) as double), 6) as high from panel"
     )
     return with_panel(" union all ".join(one.format(c=c) for c in ("yr", *MEASURES)))
 
@@ -112,7 +112,7 @@ def null_profile() -> str:
     names = ("yr", "facility_id", "drg_code", "severity_code", "med_surg_code", "facility_name", *MEASURES)
     one = (
         "select '{c}' as column_name, count(*) - count({c}) as n_missing, "
-        "round(100.0 * (count(*) - count({c})) / count(*) + 2e-8, 6) as pct_missing from holes"
+        "round(100.0 * (count(*) - count({c})) / count(*), 6) as pct_missing from holes"
     )
     return with_panel(" union all ".join(one.format(c=c) for c in names), HOLES)
 
@@ -142,8 +142,8 @@ spelled as (
 parsed as (
   select *, try_cast(replace(replace(replace(t, ',', ''), '"', ''), '$', '') as double) as price from spelled
 )
-select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(price + 2e-8, 6) as price,
-       round(coalesce(price, 0.0) + 2e-8, 6) as price_or_zero
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(price, 6) as price,
+       round(coalesce(price, 0.0), 6) as price_or_zero
 from parsed
 """
 
@@ -152,15 +152,13 @@ def bins() -> str:
     """Distinct quantile edges below the value, less the lowest one."""
     probs = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
     stats = ", ".join(
-        f"stddev_samp({c}) / avg({c}) as cv_{c}, "
-        + ", ".join(f"quantile_cont({c}, {q}) as e{i}_{c}" for i, q in enumerate(probs))
-        for c in MONEY
+        f"stddev_samp({c}) / avg({c}) as cv_{c}, quantile_cont({c}, {list(probs)}) as e_{c}" for c in MONEY
     )
 
     def below(c: str) -> str:
-        first = f"case when e0_{c} < {c} then 1 else 0 end"
+        first = f"case when e_{c}[1] < {c} then 1 else 0 end"
         rest = [
-            f"case when e{i}_{c} < {c} and e{i}_{c} > e{i - 1}_{c} then 1 else 0 end" for i in range(1, len(probs))
+            f"case when e_{c}[{i}] < {c} and e_{c}[{i}] > e_{c}[{i - 1}] then 1 else 0 end" for i in range(2, len(probs) + 1)
         ]
         return " + ".join([first, *rest])
 
@@ -206,7 +204,7 @@ def oracle_sql() -> dict[str, str]:
     yoy = [f"yoy_{m}_change" for m in MEASURES]
     shifted = {m: f"greatest(0.0, {m} - 10000)" for m in MONEY} | {"discharges": "greatest(0.0, discharges)"}
     entity_columns = ", ".join(
-        r6(f"avg({m}) over (partition by {key})", f"{prefix}_avg_{m}")
+        r6(f"avg({m}) over (partition by {key})", f"{prefix}_avg_{m}", 4)
         for key, prefix in (("facility_id", "facility"), ("drg_code", "drg"), ("severity_code", "severity"))
         for m in MEASURES
     )
@@ -242,9 +240,9 @@ def oracle_sql() -> dict[str, str]:
         "f2_drg_means": means("drg_code", "drg"),
         "f3_severity_means": means("severity_code", "severity"),
         "f4_region_stats": with_panel(
-            "select facility_region, round(region_avg_discharges + 2e-8, 6) as region_avg_discharges, "
-            "round(region_median_discharges + 2e-8, 6) as region_median_discharges, "
-            "round(region_std_discharges + 2e-8, 6) as region_std_discharges from region_stats",
+            "select facility_region, round(region_avg_discharges, 6) as region_avg_discharges, "
+            "round(region_median_discharges, 6) as region_median_discharges, "
+            "round(region_std_discharges, 6) as region_std_discharges from region_stats",
             REGIONS,
         ),
         "f6_codes_per_year": f"with {YEARS} select yr, count(distinct l_partkey) as n_codes from lines group by 1",
@@ -252,23 +250,23 @@ def oracle_sql() -> dict[str, str]:
             "select " + ", ".join(r6(f"stddev_samp({m}) / avg({m})", f"cv_{m}") for m in MEASURES) + " from panel"
         ),
         "e1_region_join": with_panel(
-            f"select {ID}, facility_region, round(region_avg_discharges + 2e-8, 6) as region_avg_discharges, "
-            "round(region_median_discharges + 2e-8, 6) as region_median_discharges, "
-            "round(region_std_discharges + 2e-8, 6) as region_std_discharges from regions left join region_stats "
+            f"select {ID}, facility_region, round(region_avg_discharges, 6) as region_avg_discharges, "
+            "round(region_median_discharges, 6) as region_median_discharges, "
+            "round(region_std_discharges, 6) as region_std_discharges from regions left join region_stats "
             "using (facility_region)",
             REGIONS,
         ),
         "e2_entity_join": with_panel(f"select {ID}, {entity_columns} from panel"),
         "g1_yoy": with_panel(f"select {ID}, " + ", ".join(r6(c) for c in yoy) + " from changes", LAGGED, CHANGES),
         "g2_lags": with_panel(
-            f"select {ID}, round(coalesce(p_discharges, 0.0) + 2e-8, 6) as prev_year_discharges, "
-            "round(coalesce(p2_discharges, 0.0) + 2e-8, 6) as prev2_year_discharges, "
-            "round(coalesce(p_mean_cost, 0.0) + 2e-8, 6) as prev_year_mean_cost, "
-            "round(coalesce(p_median_cost, 0.0) + 2e-8, 6) as prev_year_median_cost from lagged",
+            f"select {ID}, round(coalesce(p_discharges, 0.0), 6) as prev_year_discharges, "
+            "round(coalesce(p2_discharges, 0.0), 6) as prev2_year_discharges, "
+            "round(coalesce(p_mean_cost, 0.0), 6) as prev_year_mean_cost, "
+            "round(coalesce(p_median_cost, 0.0), 6) as prev_year_median_cost from lagged",
             LAGGED,
         ),
         "g4_trend": with_panel(
-            f"select {ID}, round(trend + 2e-8, 6) as discharge_trend, cast(sign(trend) as double) as discharge_trend_direction "
+            f"select {ID}, round(trend, 6) as discharge_trend, cast(sign(trend) as double) as discharge_trend_direction "
             "from changes",
             LAGGED, CHANGES,
         ),
@@ -286,7 +284,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "j8_interactions": with_panel(
             f"select {ID}, ({shock}) * ({respiratory}) as covid_respiratory_impact, "
-            f"round(p_discharges * ({shock}) + 2e-8, 6) as prev_year_impact from lagged",
+            f"round(p_discharges * ({shock}), 6) as prev_year_impact from lagged",
             LAGGED,
         ),
         "k5_swap": with_panel(
@@ -314,7 +312,7 @@ def oracle_sql() -> dict[str, str]:
             LAGGED, CHANGES,
         ),
         "k7_winsorise": with_panel(
-            f"select {ID}, round(greatest(lo, least(hi, yoy_discharges_change)) + 2e-8, 6) as yoy_discharges_change "
+            f"select {ID}, round(greatest(lo, least(hi, yoy_discharges_change)), 6) as yoy_discharges_change "
             "from changes cross join ends",
             LAGGED, CHANGES,
             "ends as (select quantile_cont(yoy_discharges_change, 0.01) as lo, "
@@ -334,19 +332,19 @@ def oracle_sql() -> dict[str, str]:
             "from months group by all"
         ),
         "g6_code_change": (
-            f"with {MONTHS}, {CODE_COUNTS} select mon, n_codes, round(code_change + 2e-8, 6) as code_change from moves"
+            f"with {MONTHS}, {CODE_COUNTS} select mon, n_codes, round(code_change, 6) as code_change from moves"
         ),
         "k10_bins": bins(),
         "k11_cap": caps(),
         "k11_infinite": infinite_to_median(),
         "f5_dense_totals": (
-            f"with {YEARS}, {GRID} select l_partkey, yr, round(total_discharges + 2e-8, 6) as total_discharges from grid"
+            f"with {YEARS}, {GRID} select l_partkey, yr, round(total_discharges, 6) as total_discharges from grid"
         ),
         "g5_totals_yoy": (
             f"with {YEARS}, {GRID}, steps as (select *, lag(total_discharges) over (partition by l_partkey order by yr) as p "
-            "from grid) select l_partkey, yr, round(total_discharges + 2e-8, 6) as total_discharges, "
-            "round(coalesce(p, 0.0) + 2e-8, 6) as prev_year_discharges, "
-            "round(coalesce((total_discharges - p) / nullif(p, 0), 0.0) + 2e-8, 6) as yoy_change from steps"
+            "from grid) select l_partkey, yr, round(total_discharges, 6) as total_discharges, "
+            "round(coalesce(p, 0.0), 6) as prev_year_discharges, "
+            "round(coalesce((total_discharges - p) / nullif(p, 0), 0.0), 6) as yoy_change from steps"
         ),
         "k12_test_year": with_panel(
             "select coalesce(max(case when yr = 1999 then yr end), max(case when yr < 2000 then yr end), "
@@ -368,11 +366,11 @@ def oracle_sql() -> dict[str, str]:
             "from lines left join seen using (l_partkey) group by 1, 2"
         ),
         "l4_features": with_panel(
-            f"select {KEYS}, yr, 42 * count(*) as n_values, round(42 * sum(discharges) + 2e-8, 6) as label_sum from panel "
+            f"select {KEYS}, yr, 42 * count(*) as n_values, round(42 * sum(discharges), 6) as label_sum from panel "
             f"group by {KEYS}, yr"
         ),
         "m5_metrics": naive(
-            "select n, round(sqrt(mse) + 2e-8, 6) as rmse, round(mae + 2e-8, 6) as mae, round(1 - mse / spread + 2e-8, 6) as r2 from scored"
+            "select n, round(sqrt(mse), 6) as rmse, round(mae, 6) as mae, round(1 - mse / spread, 6) as r2 from scored"
         ),
         "j12_report_text": naive(
             "select 'previous year' as \"Task\", printf('%.2f', sqrt(mse)) as \"RMSE\", printf('%.2f', mae) as \"MAE\", "
@@ -386,16 +384,16 @@ def oracle_sql() -> dict[str, str]:
         ),
         "o3_align": with_panel(
             f"select {KEYS}, med_surg_code, 2000 as yr, discharges, mean_cost, "
-            "(select round(avg(yoy_discharges_change) + 2e-8, 6) from changes where yr >= 1997) as yoy_discharges_change, "
-            "(select round(avg(yoy_mean_cost_change) + 2e-8, 6) from changes where yr >= 1997) as yoy_mean_cost_change, "
+            "(select round(avg(yoy_discharges_change), 6) from changes where yr >= 1997) as yoy_discharges_change, "
+            "(select round(avg(yoy_mean_cost_change), 6) from changes where yr >= 1997) as yoy_mean_cost_change, "
             "cast(0.0 as double) as absent_feature from changes where yr = 1999",
             LAGGED, CHANGES,
         ),
         "p1_charge_cost_ratio": with_panel(
-            "select facility_id, round(sum(mean_charge) / nullif(sum(mean_cost), 0) + 2e-8, 6) as charge_to_cost from panel group by 1"
+            "select facility_id, round(sum(mean_charge) / nullif(sum(mean_cost), 0), 6) as charge_to_cost from panel group by 1"
         ),
         "p2_cost_charge_corr": with_panel(
             "select facility_id, round(case when stddev_pop(mean_cost) > 0 and stddev_pop(mean_charge) > 0 "
-            "then corr(mean_cost, mean_charge) end + 2e-8, 6) as cost_charge_corr from panel group by 1"
+            "then corr(mean_cost, mean_charge) end, 6) as cost_charge_corr from panel group by 1"
         ),
     }

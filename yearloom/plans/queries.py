@@ -1,8 +1,8 @@
 """Registered queries: each operator on the derived panel or straight on the given tables.
 
-The work of every query grows with those tables.  Doubles are rounded to six
-places, since two engines add in different orders; the small offset keeps exact
-halves, which averages of prices do hit, on the same side in both.
+The work of every query grows with those tables.  Doubles are rounded, since two
+engines add in different orders: to six places, or to four where averages of
+values with six places would hit exact halves.
 """
 
 from __future__ import annotations
@@ -19,38 +19,36 @@ from ..functions import parse_number
 from ..operators import clean, encode, explain, forecast, models, profile, quality, split, stats, totals, windows
 from ..roles import DEFAULT_ROLES
 from ..scale import materialise, sample_rows
-from .derived_panel import PANEL_SETTINGS, panel, table
+from .derived_panel import PANEL_SETTINGS, panel, state, table
 from .features import FeatureTables, build_features
 from .run import explain_task, forecasts
-from .tasks import FittedTask, all_pairs, metrics_table, run_tasks
+from .tasks import TASKS, FittedTask, all_pairs, metrics_table, run_tasks
 
 R = DEFAULT_ROLES
 S = PANEL_SETTINGS
 ID = [*R.keys, R.extra_key, R.time]
-# Few rounds keep the registered model queries short; the default is the published 200.
-BOOST = models.BoostSettings(rounds=10)
 
 Query = Callable[[SparkSession, str], DataFrame]
-_TABLES: dict[tuple[str, str], FeatureTables] = {}
-_FITTED: dict[tuple[str, str], dict[str, FittedTask]] = {}
-_PHI: dict[tuple[str, str], DataFrame] = {}
+_TABLES: dict[tuple, FeatureTables] = {}
+_FITTED: dict[tuple, dict[str, FittedTask]] = {}
+_PHI: dict[tuple, DataFrame] = {}
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(
         *[
-            F.round(F.col(f.name) + 2e-8, places).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+            F.round(F.col(f.name), places).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
             for f in df.schema.fields
         ]
     )
 
 
-def on_panel(build: Callable[[DataFrame], DataFrame], keep: Sequence[str] | None = None) -> Query:
+def on_panel(build: Callable[[DataFrame], DataFrame], keep: Sequence[str] | None = None, places: int = 6) -> Query:
     """A query over the whole derived panel, optionally reduced to the row id and some columns."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = build(panel(spark, sf_dir))
-        return rounded(out if keep is None else out.select(*ID, *keep))
+        return rounded(out if keep is None else out.select(*ID, *keep), places)
 
     return run
 
@@ -200,7 +198,7 @@ def unknown_category_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_tables(spark: SparkSession, sf_dir: str) -> FeatureTables:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = state(spark, sf_dir)
     if key not in _TABLES:
         _TABLES[key] = build_features(panel(spark, sf_dir), settings=S)
     return _TABLES[key]
@@ -208,10 +206,10 @@ def feature_tables(spark: SparkSession, sf_dir: str) -> FeatureTables:
 
 def fitted_tasks(spark: SparkSession, sf_dir: str) -> dict[str, FittedTask]:
     """Every task fitted once per application on all rows of its training years."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = state(spark, sf_dir)
     if key not in _FITTED:
-        done = run_tasks(feature_tables(spark, sf_dir), settings=replace(S, split_sample=None), boost=BOOST)
-        _FITTED[key] = {f.task.title[:7].rstrip(":"): f for f in done}
+        done = run_tasks(feature_tables(spark, sf_dir), settings=replace(S, train_sample=None))
+        _FITTED[key] = {f.task.id: f for f in done}
     return _FITTED[key]
 
 
@@ -236,14 +234,14 @@ def features_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = F.size(vector_to_array("features"))
     return flat.groupBy(*R.keys, R.time).agg(
         F.sum(values).alias("n_values"),
-        F.round(F.sum(F.col("label") * values) + 2e-8, 6).alias("label_sum"),
+        F.round(F.sum(F.col("label") * values), 6).alias("label_sum"),
     )
 
 
 def shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = state(spark, sf_dir)
     if key not in _PHI:
-        task = fitted_tasks(spark, sf_dir)["Task 1a"]
+        task = fitted_tasks(spark, sf_dir)["1a"]
         _PHI[key] = materialise(explain_task(task, feature_tables(spark, sf_dir)), "shapley")
     return _PHI[key]
 
@@ -254,12 +252,12 @@ def dependence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def importance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    task = fitted_tasks(spark, sf_dir)["Task 1a"]
+    task = fitted_tasks(spark, sf_dir)["1a"]
     return explain.builtin_importance(spark, task.model, task.features)
 
 
 def permutation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    task = fitted_tasks(spark, sf_dir)["Task 2"]
+    task = fitted_tasks(spark, sf_dir)["2"]
     return explain.permutation_importance(task.model, task.test, task.features, [R.prefix_code, R.time])
 
 
@@ -305,9 +303,9 @@ def queries() -> dict[str, Query]:
         ),
         "i1_dedup": on_panel(lambda p: quality.drop_equal_rows(coarse(p))),
         # statistics and joins back
-        "f1_facility_means": on_panel(lambda p: stats.entity_means(p, "facility_id", "facility")),
-        "f2_drg_means": on_panel(lambda p: stats.entity_means(p, "drg_code", "drg")),
-        "f3_severity_means": on_panel(lambda p: stats.entity_means(p, "severity_code", "severity")),
+        "f1_facility_means": on_panel(lambda p: stats.entity_means(p, "facility_id", "facility"), places=4),
+        "f2_drg_means": on_panel(lambda p: stats.entity_means(p, "drg_code", "drg"), places=4),
+        "f3_severity_means": on_panel(lambda p: stats.entity_means(p, "severity_code", "severity"), places=4),
         "f4_region_stats": on_panel(lambda p: stats.region_stats(stats.with_region(p))),
         "f6_codes_per_year": lambda s, d: stats.codes_per_time(line_years(s, d), "yr", "l_partkey"),
         "f10_dispersion": on_panel(lambda p: stats.dispersion(p, measures)),
@@ -316,7 +314,7 @@ def queries() -> dict[str, Query]:
             ["facility_region", "region_avg_discharges", "region_median_discharges", "region_std_discharges"],
         ),
         "e2_entity_join": on_panel(
-            entity_join, [f"{x}_avg_{m}" for x in ("facility", "drg", "severity") for m in [*R.money, R.volume]]
+            entity_join, [f"{x}_avg_{m}" for x in ("facility", "drg", "severity") for m in [*R.money, R.volume]], 4
         ),
         # windows and flags
         "g1_yoy": on_panel(lambda p: windows.fill_changes(changes(p)), yoy),
@@ -366,9 +364,9 @@ def queries() -> dict[str, Query]:
         # metrics and models
         "m5_metrics": on_panel(naive_metrics),
         "j12_report_text": on_panel(naive_report),
-        "m1_predict": lambda s, d: fitted_tasks(s, d)["Task 1a"].predictions,
+        "m1_predict": lambda s, d: fitted_tasks(s, d)["1a"].predictions,
         "m7_report": lambda s, d: metrics_table(list(fitted_tasks(s, d).values())),
-        "m8_totals_model": lambda s, d: fitted_tasks(s, d)["Task 2"].predictions,
+        "m8_totals_model": lambda s, d: fitted_tasks(s, d)["2"].predictions,
         "a8_predicted_actual": model_pairs,
         # explanation
         "n1_shapley": shapley,

@@ -22,6 +22,7 @@ from .features import FeatureTables
 
 @dataclass(frozen=True)
 class Task:
+    id: str
     title: str
     model_name: str
     label: str
@@ -32,14 +33,14 @@ class Task:
 
 # Titles, model names, labels and feature rules of the report.
 TASKS = (
-    Task("Task 1a: Discharges Prediction", "Discharges Prediction", "discharges",
+    Task("1a", "Task 1a: Discharges Prediction", "Discharges Prediction", "discharges",
          drop=("mean_cost", "median_cost", "mean_charge", "median_charge")),
-    Task("Task 1b: Median Costs Prediction", "Median Cost Prediction", "median_cost",
+    Task("1b", "Task 1b: Median Costs Prediction", "Median Cost Prediction", "median_cost",
          extra=("discharges",), drop=("mean_cost", "mean_charge", "median_charge")),
-    Task("Task 1c: Median Charges Prediction", "Median Charge Prediction", "median_charge",
+    Task("1c", "Task 1c: Median Charges Prediction", "Median Charge Prediction", "median_charge",
          extra=("discharges",), drop=("mean_cost", "mean_charge", "median_cost")),
-    Task("Task 2: Total DRG Discharges", "Total DRG Discharges Prediction", "total_discharges", on_totals=True),
-    Task("Task 3: Mean Cost Prediction", "Mean Cost Prediction", "mean_cost",
+    Task("2", "Task 2: Total DRG Discharges", "Total DRG Discharges Prediction", "total_discharges", on_totals=True),
+    Task("3", "Task 3: Mean Cost Prediction", "Mean Cost Prediction", "mean_cost",
          extra=("discharges",), drop=("median_cost", "mean_charge", "median_charge")),
 )
 TOTALS_FEATURES = ("prev_year_discharges", "yoy_change")
@@ -90,7 +91,7 @@ def run_task(
     source = task_source(task, tables)
     features = task_features(task, tables, roles)
     identity = task_identity(task, tables, roles)
-    sample = None if task.on_totals else settings.split_sample
+    sample = None if task.on_totals else settings.train_sample
     train, test = sampled_split(source, roles.time, test_time, identity, sample, limits=limits)
     codes = [c for c in (roles.prefix_code,) if task.on_totals] or roles.keys
     encodings = fit_encodings(source, codes, limits) if use_codes else []

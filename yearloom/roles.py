@@ -100,7 +100,7 @@ class Settings:
     dispersion: float = 1.0
     bins: int = 5
     cap_above: float = 1e6
-    split_sample: int = 100_000
+    train_sample: int | None = 100_000  # rows a model is fitted on at most; every test row is scored
 
 
 @dataclass(frozen=True)
@@ -110,13 +110,15 @@ class Limits:
     ``group_rows``      most rows of one group that a single task may hold;
     ``broadcast_rows``  most rows of a table that may be broadcast;
     ``scalar_rows``     most rows of a report that may come to the driver;
-    ``buckets``         histogram buckets per refinement round of an exact quantile.
+    ``buckets``         histogram buckets per refinement round of an exact quantile;
+    ``wide_years``      most years that get a sum each in one aggregation.
     """
 
     group_rows: int = 1_000_000
     broadcast_rows: int = 200_000
     scalar_rows: int = 10_000
     buckets: int = 4096
+    wide_years: int = 128
 
 
 DEFAULT_ROLES = PanelRoles()

@@ -1,9 +1,9 @@
 from .groups import hot_groups, keyed_join, lookup, sized
-from .written import checkpoint_root, materialise
+from .written import checkpoint_root, materialise, release, written_so_far
 from .quantiles import grouped, modes, number
 from .ranges import chunks, indexed, lagged, sample_mark, sample_rows
 
 __all__ = [
     "checkpoint_root", "chunks", "grouped", "hot_groups", "indexed", "keyed_join", "lagged",
-    "lookup", "materialise", "modes", "number", "sample_mark", "sample_rows", "sized",
+    "lookup", "materialise", "modes", "number", "release", "sample_mark", "sample_rows", "sized", "written_so_far",
 ]

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -34,11 +35,32 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def materialise(df: DataFrame, label: str = "table", partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once and return a DataFrame that scans the written files."""
     spark = df.sparkSession
     path = "/".join(
         [checkpoint_root(spark).rstrip("/"), "yearloom", spark.sparkContext.applicationId, f"{label}-{uuid.uuid4().hex}"]
     )
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_so_far() -> int:
+    """A mark for ``release``."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Deletes what ``materialise`` wrote after the mark, once its readers are done; returns how many tables.
+
+    Marks count all tables of the application, so runs that release what they
+    wrote go one after the other.
+    """
+    paths = _WRITTEN[since:]
+    del _WRITTEN[since:]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
