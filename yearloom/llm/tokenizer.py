@@ -14,7 +14,7 @@ from functools import lru_cache
 from struct import pack
 
 #: Words kept by a worker; beyond that it forgets all and starts again, which bounds memory and changes no result.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 # The split pattern of the word tokenizer for lower-case ASCII and Latin-1 letters.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
