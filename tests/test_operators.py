@@ -310,7 +310,7 @@ def test_split_filter_reaches_the_scan(small_panel):
 def test_sampled_split(small_panel):
     identity = ["facility_id", "drg_code", "severity_code", "med_surg_code", "yr"]
     train, test = split.sampled_split(small_panel, "yr", 1999, identity, 100)
-    assert train.count() == 100 and test.count() == 100
+    assert train.count() == 100 and test.count() == small_panel.filter("yr = 1999").count()
 
 
 # -- encoding --------------------------------------------------------------------

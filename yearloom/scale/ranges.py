@@ -124,7 +124,8 @@ def sample_rows(
     missing = n - (last["upto"] - last["n"])
     if missing == last["n"]:
         return df.filter(score <= F.lit(last["__score"]))
-    some = df.filter(score == F.lit(last["__score"])).limit(missing)
+    # Written, so that every later reading sees the same of these equal-hashed rows.
+    some = materialise(df.filter(score == F.lit(last["__score"])).limit(missing), "sample-rest")
     return df.filter(score < F.lit(last["__score"])).unionByName(some)
 
 
