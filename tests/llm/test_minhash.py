@@ -20,7 +20,7 @@ def corpus(gibberish):
     for i in range(0, 60, 3):
         texts += [edited(texts[i], share, 100 * i + k) for k, share in enumerate((0.0, 0.01, 0.02, 0.05, 0.1))]
     base = gibberish(777, 150)
-    texts += [edited(base, 0.01, k) for k in range(40)]  # many near copies of one text
+    texts += [base, *(edited(base, 0.01 + 0.002 * (k % 8), k) for k in range(60))]  # copies near one text, less so each other
     line = gibberish(555, 12)
     texts += [f"{line} {gibberish(1000 + k, 6)}" for k in range(60)]  # short texts that share most of one line
     texts += ["a b", "A\tb\n", "a b c", "a", "a", "", " \n", None, None, "w" * 300_000, "x y " * 40_000]
@@ -77,6 +77,7 @@ def test_shuffled_places_and_small_blocks_give_the_same(spark, docs, gibberish,
     rows = list(enumerate(corpus(gibberish)))
     monkeypatch.setattr(minhash, "BROADCAST_NODES", 0)
     monkeypatch.setattr(minhash.deal_in_blocks, "__defaults__", (4,))
+    monkeypatch.setattr(minhash, "SET_BLOCK_ROWS", 3)
     got = minhash.near_duplicates(docs(rows), width=3, percent=85).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(components_of(rows, 3, 85))
 

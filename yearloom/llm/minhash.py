@@ -11,13 +11,17 @@ sets.
 Documents with the same set are one node.  Links are only needed as far as they
 join components, so no group is expanded into pairs:
 
-1. each node is confirmed against one leader of its bands' buckets;
-2. in buckets that still hold several components, the nodes of different
-   components are compared by estimate, in blocks, and those that pass are
-   confirmed.
-
-After the second step every pair that shares a band and passes the estimate is
-either confirmed, refused, or within one component.
+1. a node is held against the leader of each of its bands' buckets; buckets that
+   this leaves in parts are compared in blocks.  Both keep only a spanning
+   forest of the pairs that pass the estimate: its components are clusters, and
+   no link leads out of one;
+2. in a cluster each node's best partner by estimate is confirmed;
+3. clusters still in parts are compared on full sets, in blocks, where nodes of
+   different parts pass the estimate; again only a spanning forest of the links
+   is kept.
+
+So every pair that shares a band and passes the estimate is confirmed, refused,
+or within one component.
 """
 
 from __future__ import annotations
@@ -44,6 +48,8 @@ MANTISSA_BITS = 10
 MISS = 1e-4
 #: Estimates may fall short of the threshold by so many standard deviations.
 SLACK = 4.0
+#: Rows of a block where full sets are compared.
+SET_BLOCK_ROWS = 512
 #: Candidate nodes are sent to every task only while they are fewer than this; else the join is by shuffle.
 BROADCAST_NODES = 200_000
 
@@ -200,6 +206,12 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> D
     return materialise(found.mapInArrow(run, "node binary, shingles binary"), "sets")
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted sets."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union on their full sets."""
     both = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
@@ -209,50 +221,143 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep.append(_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], schema=schema)
 
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
-def _unresolved(bands: DataFrame, nodes: DataFrame, joined: DataFrame, threshold: float) -> DataFrame:
-    """Plausible pairs of nodes that share a bucket but not yet a component.
+class _Forest:
+    """Links that join what earlier links left apart."""
 
-    Buckets with one component are done.  The others are dealt in blocks, and in
-    a block only nodes of different components are compared.
-    """
-    labelled = bands.join(joined, bands["node"] == joined["member"], "left").select(
-        bands["node"], "key", F.coalesce("component", bands["node"]).alias("comp")
-    )
-    labelled = materialise(labelled, "bucket-members")
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    members = labelled.join(open_keys, "key").join(nodes.select("node", "n_shingles", "regs"), "node")
-    dealt = deal_in_blocks(members, ["key"], "node")
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    def __init__(self, n: int):
+        self._parent, self.links = list(range(n)), []
 
-    def compare(group: pa.Table) -> pa.Table:
-        node, comp = (np.array(group.column(c).to_pylist(), object) for c in ("node", "comp"))
-        n, own = (group.column(c).to_numpy() for c in ("n_shingles", "own"))
-        regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        comp = np.unique(comp, return_inverse=True)[1]
+    def _root(self, x: int) -> int:
+        while self._parent[x] != x:
+            self._parent[x] = self._parent[self._parent[x]]
+            x = self._parent[x]
+        return x
+
+    def apart(self, x: int, y: int) -> bool:
+        return self._root(x) != self._root(y)
+
+    def join(self, x: int, y: int) -> None:
+        a, b = self._root(x), self._root(y)
+        self._parent[max(a, b)] = min(a, b)
+        self.links.append((x, y))
+
+
+class _Block:
+    """The nodes of a group of two blocks, and estimates between them, some rows at a time."""
+
+    def __init__(self, group: pa.Table):
+        self.node = group.column("node").to_pylist()
+        self.n, own = (group.column(c).to_numpy() for c in ("n_shingles", "own"))
+        self._regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out_a, out_b = [], []
-        for at in range(0, len(left), 64):
-            rows = left[at : at + 64]
-            equal = np.zeros((len(rows), len(right)), np.int32)
+        self.same, self._left, self._right = i == j, np.flatnonzero(own == i), np.flatnonzero(own == j)
+
+    def pairs(self, threshold: float, comp: np.ndarray | None = None):
+        """(x, y, estimate) of the pairs that pass, of different ``comp``; a pair within one block comes once."""
+        right = self._right
+        for at in range(0, len(self._left), 64):
+            rows = self._left[at : at + 64]
+            equal = np.zeros((len(rows), len(right)), np.int16)
             for r in range(REGISTERS):
-                equal += regs[rows, r][:, None] == regs[right, r][None, :]
-            ok = passes(equal, n[rows][:, None], n[right][None, :], threshold) & (comp[rows][:, None] != comp[right][None, :])
+                equal += self._regs[rows, r][:, None] == self._regs[right, r][None, :]
+            small = np.minimum(self.n[rows][:, None], self.n[right][None, :])
+            ok = small >= threshold * np.maximum(self.n[rows][:, None], self.n[right][None, :]) - 1e-9
+            if self.same:
+                ok &= rows[:, None] < right[None, :]
+            if comp is not None:
+                ok &= comp[rows][:, None] != comp[right][None, :]
             x, y = np.nonzero(ok)
-            out_a += list(node[rows[x]])
-            out_b += list(node[right[y]])
-        pairs = [(min(a, b), max(a, b)) for a, b in zip(out_a, out_b, strict=True)]
-        return pa.table([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], schema=schema)
+            equal, x, y = equal[x, y], rows[x], right[y]
+            keep = passes(equal, self.n[x], self.n[y], threshold)
+            yield x[keep], y[keep], equal[keep]
+
+    def table(self, links: list[tuple[int, int]]) -> pa.Table:
+        ends = [sorted((self.node[x], self.node[y])) for x, y in links]
+        return pa.table([pa.array([e[k] for e in ends], pa.binary()) for k in (0, 1)], schema=_PAIR)
+
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+_PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _bucket_forest(led: DataFrame, near: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """A spanning forest of the plausible pairs in buckets that leaders left in parts.
+
+    ``led``: (key, leader a, node) of buckets of three or more.  A node that
+    passes with its leader is of the leader's part, any other is a part of its own.
+    """
+    labelled = led.join(near.withColumnRenamed("b", "node").withColumn("near", F.lit(True)), ["a", "node"], "left")
+    comp = F.when(F.col("near") | (F.col("node") == F.col("a")), F.col("a")).otherwise(F.col("node"))
+    labelled = materialise(labelled.select("key", "node", comp.alias("comp")), "bucket-members")
+    parts = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    members = labelled.join(parts.filter("x <> y").select("key"), "key").join(nodes.select("node", "n_shingles", "regs"), "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        block = _Block(group)
+        comp = np.unique(np.array(group.column("comp").to_pylist(), object), return_inverse=True)[1]
+        forest = _Forest(int(comp.max()) + 1)  # of components
+        links = []
+        for x, y, _ in block.pairs(threshold, comp):
+            for a, b in zip(x.tolist(), y.tolist(), strict=True):
+                if forest.apart(comp[a], comp[b]):
+                    forest.join(comp[a], comp[b])
+                    links.append((a, b))
+        return block.table(links)
+
+    return deal_in_blocks(members, ["key"], "node").groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
+def _best_partners(members: DataFrame, threshold: float) -> DataFrame:
+    """Per node of a cluster the pair with the partner of the highest estimate."""
+    schema = pa.schema([("node", pa.binary()), ("partner", pa.binary()), ("equal", pa.int32())])
+
+    def compare(group: pa.Table) -> pa.Table:
+        block, best = _Block(group), {}
+        for x, y, equal in block.pairs(threshold):
+            for one, other in ((x, y), (y, x)):
+                order = np.lexsort((other, -equal.astype(np.int32), one))
+                first = order[np.unique(one[order], return_index=True)[1]]
+                for a, b, e in zip(one[first].tolist(), other[first].tolist(), equal[first].tolist(), strict=True):
+                    if a not in best or e > best[a][1]:
+                        best[a] = (b, e)
+        rows = [(block.node[a], block.node[b], e) for a, (b, e) in best.items()]
+        return pa.table([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(schema)], schema=schema)
+
+    found = deal_in_blocks(members, ["cluster"], "node").groupBy("cluster", "i", "j")
+    found = found.applyInArrow(compare, "node binary, partner binary, equal int")
+    best = found.groupBy("node").agg(F.max_by("partner", F.struct("equal", "partner")).alias("partner"))
+    return best.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
+
+
+def _cluster_links(members: DataFrame, sets: DataFrame, joined: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """A spanning forest of the links between the parts of clusters that best partners left in parts."""
+    labelled = members.join(joined, members["node"] == joined["member"], "left").select(
+        members["*"], F.coalesce("component", members["node"]).alias("comp")
+    )
+    parts = labelled.groupBy("cluster").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"))
+    rest = labelled.join(parts.filter("x <> y and n > 2").select("cluster"), "cluster").join(sets.dropDuplicates(["node"]), "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        block = _Block(group)
+        comp = np.unique(np.array(group.column("comp").to_pylist(), object), return_inverse=True)[1]
+        sets_of = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
+        forest = _Forest(int(comp.max()) + 1)
+        links = []
+        for x, y, equal in block.pairs(threshold, comp):
+            order = np.argsort(-equal, kind="stable")  # likely links first: what they join needs no further check
+            for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
+                if forest.apart(comp[a], comp[b]) and _alike(sets_of[a], sets_of[b], percent):
+                    forest.join(comp[a], comp[b])
+                    links.append((a, b))
+        return block.table(links)
+
+    dealt = deal_in_blocks(rest, ["cluster"], "node", SET_BLOCK_ROWS)
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -275,19 +380,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     nodes = materialise(nodes, "nodes")
     bands = materialise(_bands(nodes, threshold), "bands")
-    leaders = bands.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
-    led = bands.join(leaders, "key").filter("node > a").select("a", F.col("node").alias("b")).distinct()
-    first = _plausible(led, nodes, threshold).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first = materialise(first, "first-pairs")
-    ends = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
-    links = materialise(_confirmed(first, _sets(docs, nodes, ends, width), percent), "first-links")
+    leaders = bands.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    led = materialise(bands.join(leaders, "key").select("key", "a", "node", "n"), "led")
+    pairs = led.filter("node > a").select("a", F.col("node").alias("b")).distinct()
+    near = materialise(_plausible(pairs, nodes, threshold), "near-leaders")
+    more = _bucket_forest(led.filter("n > 2"), near, nodes, threshold)
+    places = components(near.unionByName(more)).toDF("node", "cluster")
+    members = materialise(places.join(nodes.select("node", "n_shingles", "regs"), "node"), "cluster-members")
+    sets = _sets(docs, nodes, members.select("node"), width)
+    links = materialise(_confirmed(_best_partners(members, threshold), sets, percent), "best-links")
     joined = materialise(components(links).toDF("member", "component"), "first-components")
-    second = materialise(_unresolved(bands, nodes, joined, threshold), "second-pairs")
-    if second.count():
-        ends = second.select(F.col("a").alias("node")).unionByName(second.select(F.col("b").alias("node"))).distinct()
-        more = _confirmed(second, _sets(docs, nodes, ends, width), percent)
-        links = materialise(links.unionByName(more), "all-links")
-        joined = components(links).toDF("member", "component")
+    more = materialise(_cluster_links(members, sets, joined, threshold, percent), "more-links")
+    if more.count():
+        joined = components(materialise(links.unionByName(more), "all-links")).toDF("member", "component")
     least = nodes.join(joined, F.col("node") == F.col("member"), "left").select(
         "node", "least", F.coalesce("component", "node").alias("component")
     )
