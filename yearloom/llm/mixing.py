@@ -10,9 +10,10 @@ number picked.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from yearloom.llm.common import session
 from yearloom.scale.written import materialise
 
 # Weights by a source's place in the order of names.
@@ -112,6 +113,10 @@ def _knapsack(lengths: list[tuple[int, int]], picked: dict[int, int], left: int)
     return picked
 
 
+def _source_key(source: Column) -> list[Column]:
+    return [F.coalesce(source, F.lit("")).alias("_s"), source.isNull().alias("_z")]
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 42) -> DataFrame:
     """``docs`` (all columns) with size, source_size, target, passes and taken.
 
@@ -121,6 +126,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     as many of them are picked as their number asks.  Columns of ``docs`` with
     the added names give way to them; an empty table gives no rows.
     """
+    session(docs)
     added = ["size", "source_size", "target", "passes", "taken"]
     sized = with_sizes(docs.drop(*added))
     key = sized.select(
@@ -159,16 +165,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         places.alias("c")
         .join(plan.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source")) & (F.col("c.size") == F.col("p.size")))
         .select(
-            F.col("c.source").alias("_s"), F.col("c.size").alias("_n"), F.col("c._b").alias("_c"), "source_size", "target", "whole",
-            F.greatest(F.lit(0), F.least("n", F.col("k") - F.col("before"))).alias("_k"), "n",
+            *_source_key(F.col("c.source")), F.col("c.size").alias("size"), F.col("c._b").alias("_b"), "source_size", "target", "whole",
+            F.greatest(F.lit(0), F.least("n", F.col("k") - F.col("before"))).alias("_k"),
         ),
         "mix-cuts",
     )
+    # Plain key columns, so that the join and the ranking share one exchange of the documents.
+    group = ["_s", "_z", "size", "_b"]
     hashed = sized.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
-    both = hashed.join(
-        cut, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n")) & (F.col("_b") == F.col("_c"))
-    )
-    ranked = Window.partitionBy("_s", "_n", "_c").orderBy("_h", "doc_id")
+    both = hashed.select("*", *_source_key(F.col("source"))).join(cut, group)
+    ranked = Window.partitionBy(*group).orderBy("_h", "doc_id")
     chosen = F.row_number().over(ranked) <= F.col("_k")
     passes = F.when(F.col("size") > 0, F.col("whole") + chosen.cast("int")).otherwise(F.col("whole"))
     return both.withColumn("passes", passes).withColumn("taken", F.col("size") * F.col("passes")).select(
