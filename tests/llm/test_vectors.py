@@ -67,6 +67,31 @@ def test_links_and_components(spark, block_rows):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def planted(n_pairs, label=0, size=64, low=0.93, high=0.95, seed=3):
+    """Pairs of vectors (2k, 2k + 1) whose cosines lie just above the threshold, and no other links."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n_pairs):
+        a, b = np.linalg.qr(rng.standard_normal((size, 2)))[0].T
+        c = rng.uniform(low + 1e-4, high)
+        rows += [(2 * k, list(a), label), (2 * k + 1, list(c * a + math.sqrt(1 - c * c) * b), label)]
+    return rows
+
+
+def test_every_line_counts_in_large_labels(spark):
+    rows = planted(1000)  # one label, not dealt by signs
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.similar_vectors(table(spark, rows)).collect()}
+    assert got == {i: (1, i - i % 2) for i in range(2000)}
+
+
+def test_steps_lose_no_collision():
+    lines = np.random.default_rng(2).standard_normal((2, 100_000)) * 2
+    for half in (0.05, 0.748, 2.5):
+        near = np.abs(lines[0] - lines[1]) <= half
+        steps = np.abs(vectors._steps(lines[0]) - vectors._steps(lines[1]))
+        assert (steps[near] <= int(half * vectors.STEPS + 1)).all()
+
+
 def test_repeated_and_null_ids(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v, 0), (1, v, 0), (2, v, 0), (None, v, 0), (None, v, 0), (2, [3.0, 0.0, 0.0], 0)]

@@ -33,8 +33,10 @@ from yearloom.scale.written import materialise
 LINES, REACH = 24, 2.0
 #: How likely a pair at the threshold reaches the collision count, and shares a bucket.
 RECALL, TABLE_RECALL = 0.9999, 0.998
-#: Queries compared with a window's rows at a time.
+#: Queries compared with a block's rows at a time.
 QUERIES = 128
+#: Steps of one standard deviation of a line, to which places are rounded where collisions are counted.
+STEPS = 16
 
 
 def collisions_needed(lines: int = LINES, reach: float = REACH, recall: float = RECALL) -> int:
@@ -103,33 +105,34 @@ def _find(parent: np.ndarray, x: int) -> int:
     return x
 
 
+def _steps(lines: np.ndarray) -> np.ndarray:
+    """Places on the lines in whole steps, within -63 and 63, so that differences fit a byte."""
+    return np.clip(np.rint(lines * STEPS), -63, 63).astype(np.int8)
+
+
 def _linked(lines_a, unit_a, keys_a, lines_b, unit_b, keys_b, table: int, cosine: float, half: float, needed: int):
     """Index pairs (a, b) that collide often enough, are as near as ``cosine``, and share no earlier bucket.
 
-    Rows of b are sorted on the first line; a run of queries only meets the rows
-    within its windows there.
+    Every query meets every row of b on every line.  Places are rounded to steps
+    and a window is widened by what rounding can add, so no collision is lost.
     """
-    order = np.argsort(lines_b[:, 0], kind="stable")
-    lines_b, unit_b, keys_b = lines_b[order], unit_b[order], keys_b[order]
-    queries = np.argsort(lines_a[:, 0], kind="stable")
-    columns_b = np.ascontiguousarray(lines_b.T)
-    for at in range(0, len(queries), QUERIES):
-        q = queries[at : at + QUERIES]
-        first = lines_a[q, 0]
-        low, high = np.searchsorted(columns_b[0], [first[0] - half, first[-1] + half + 1e-6])
-        if low == high:
-            continue
-        count = np.zeros((len(q), high - low), np.uint8)
-        for k in range(lines_a.shape[1]):
-            count += np.abs(lines_a[q, k][:, None] - columns_b[k][None, low:high]) <= half
+    steps_a, columns_b = _steps(lines_a), np.ascontiguousarray(_steps(lines_b).T)
+    window = min(126, int(half * STEPS + 1))
+    for at in range(0, len(steps_a), QUERIES):
+        q = steps_a[at : at + QUERIES]
+        count = np.zeros((len(q), len(lines_b)), np.uint8)
+        apart = np.empty(count.shape, np.int8)
+        for k in range(q.shape[1]):
+            np.subtract(q[:, k][:, None], columns_b[k][None, :], out=apart)
+            count += np.abs(apart, out=apart) <= window
         x, y = np.nonzero(count >= needed)
-        y += low
-        near = np.einsum("ij,ij->i", unit_a[q[x]], unit_b[y]) >= cosine
-        x, y = q[x[near]], y[near]
+        x += at
+        near = np.einsum("ij,ij->i", unit_a[x], unit_b[y]) >= cosine
+        x, y = x[near], y[near]
         if table:
             new = (keys_a[x][:, :table] != keys_b[y][:, :table]).all(axis=1)
             x, y = x[new], y[new]
-        yield x, order[y]
+        yield x, y
 
 
 def similar_vectors(vectors: DataFrame, cosine: float = 0.93, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
