@@ -30,9 +30,11 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group; of rows that repeat it, one; texts without words stay."""
+    """Keeps one document of each group, that with the least doc_id, whatever ids other groups have; texts without words stay."""
     found = materialise(minhash.near_duplicates(docs), "stage-groups")
-    worded = found.filter("kept and n_shingles > 0").groupBy("doc_id").agg(F.min("h").alias("h"), F.lit(True).alias("once"))
+    # The kept rows of one group share their doc_id.
+    worded = found.filter("kept and n_shingles > 0").groupBy("component").agg(F.first("doc_id").alias("doc_id"), F.min("h").alias("h"))
+    worded = worded.select("doc_id", "h", F.lit(True).alias("once"))
     empty = found.filter("n_shingles = 0").select("doc_id", "h", F.lit(False).alias("once")).distinct()
     keys = worded.unionByName(empty)
     key = [F.coalesce("doc_id", F.lit(0)).alias("_k"), F.col("doc_id").isNull().alias("_z")]

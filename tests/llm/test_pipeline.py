@@ -70,6 +70,19 @@ def test_stages_and_run(spark, folder):
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in again) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in packed)
 
 
+def test_one_document_per_group_whatever_the_ids(spark, docs, gibberish):
+    alone = [(None, gibberish(i, 40)) for i in range(12)] + [(7, gibberish(20 + i, 40)) for i in range(8)]  # unrelated texts
+    near = gibberish(50, 60)
+    groups = [(None, near), (None, f"{near} end"), (7, gibberish(51, 60)), (7, gibberish(51, 60) + " end"), (3, gibberish(51, 60) + " last")]
+    empty = [(None, None), (None, ""), (7, ""), (7, "")]
+    rows = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in [*alone, *alone[:3], *groups, *empty]], DOCS)
+    rows = rows.repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.minhash_stage(spark, rows, "").collect()]
+    one = [x for x in got if x in groups]
+    assert Counter(x for x in got if x not in groups) == Counter([*alone, *empty])
+    assert len(one) == 2 and groups[4] in one
+
+
 def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").filter("false").write.parquet(f"{tmp_path}/none/{name}.parquet")

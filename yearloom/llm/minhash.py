@@ -361,12 +361,14 @@ def _cluster_links(members: DataFrame, sets: DataFrame, joined: DataFrame, thres
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, h (hash of the text), n_shingles, component_id, kept.
+    """Per row of ``docs`` (doc_id, text): doc_id, h (hash of the text), n_shingles, component_id, component, kept.
 
     Rows link when their sets of ``width``-word shingles have
     100 * intersection >= percent * union.  ``component_id`` is the least doc_id
     that links lead to (nulls count only where there is no other), and ``kept``
-    marks its rows.  Texts of fewer words have the whole sequence as their one
+    marks its rows.  ``component`` tells components apart where ids are null or
+    shared: it is the least node (digest of a set) of the component, null for
+    texts without words.  Texts of fewer words have the whole sequence as their one
     shingle; texts without words and null texts link with nothing.  Repeated
     rows link and carry the same values; other columns are ignored; an empty
     table gives no rows.
@@ -397,9 +399,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         "node", "least", F.coalesce("component", "node").alias("component")
     )
     ids = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = materialise(least.join(ids, "component").select(F.col("node").alias("of"), "component_id"), "component-ids")
+    of_node = materialise(least.join(ids, "component").select(F.col("node").alias("of"), "component_id", "component"), "component-ids")
     rows = sketched.join(of_node, F.col("node") == F.col("of"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "h", "n_shingles", component.alias("component_id")).withColumn(
+    return rows.select("doc_id", "h", "n_shingles", component.alias("component_id"), "component").withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
