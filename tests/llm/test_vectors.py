@@ -84,6 +84,18 @@ def test_every_line_counts_in_large_labels(spark):
     assert got == {i: (1, i - i % 2) for i in range(2000)}
 
 
+def test_signs_go_by_the_own_label(spark):
+    small = planted(60, label=1, seed=6)  # 120 vectors, fewer than a block
+    other = np.random.default_rng(8).standard_normal((2500, 64)).tolist()
+    for label in (None, 0):  # neither a null nor another label makes a small one lose links to signs
+        rows = small + [(10_000 + k, v, label) for k, v in enumerate(other)]
+        got = {r.vec_id: r.n_links for r in vectors.similar_vectors(table(spark, rows), block_rows=128).collect()}
+        assert all(got[i] == 1 for i in range(120))
+        prepared = vectors._prepare(table(spark, rows), vectors._label_sizes(table(spark, rows), 128), 0.93, 128, 7)
+        shapes = {r.label: r.n for r in prepared.selectExpr("label", "size(buckets) as n").distinct().collect()}
+        assert shapes[1] == 1 and shapes.get(0, 2) > 1
+
+
 def test_steps_lose_no_collision():
     lines = np.random.default_rng(2).standard_normal((2, 100_000)) * 2
     for half in (0.05, 0.748, 2.5):

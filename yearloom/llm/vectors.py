@@ -9,10 +9,11 @@ probability ``RECALL`` follows exactly.
 
 Which vectors are compared at all is dealt by the signs of further projections:
 a few signs name a bucket, and several such tables make it likely that a pair
-at the threshold shares one.  The number of signs grows with the logarithm of
-the largest label, so buckets keep their size.  A pair that shares several
-buckets counts in the first.  Buckets of any size are compared in blocks, and
-a block gives link counts and a spanning forest, never its pairs.
+at the threshold shares one.  Each label has its own number of signs, which
+grows with the logarithm of its size, so buckets keep theirs; a label that fits
+a block has none.  A pair that shares several buckets counts in the first.
+Buckets of any size are compared in blocks, and a block gives link counts and a
+spanning forest, never its pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from yearloom.llm.blocks import BLOCK_ROWS, deal_in_blocks
 from yearloom.llm.common import session
 from yearloom.llm.components import components
+from yearloom.roles import DEFAULT_LIMITS
 from yearloom.scale.written import materialise
 
 #: Lines, and half a window's width in standard deviations of a pair at the threshold.
@@ -62,25 +64,35 @@ def _lines(n: int, size: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, size]).standard_normal((size, n))
 
 
-def _prepare(vectors: DataFrame, tables: int, signs: int, seed: int) -> DataFrame:
-    """(vec_id, label, size, unit, lines, buckets) of the vectors that can link with anything."""
+def _label_sizes(vectors: DataFrame, block_rows: int) -> DataFrame:
+    """(label, size, n) of the labels and sizes with more vectors that may link than fit a block."""
+    sizes = vectors.filter("label is not null").groupBy(F.col("label").cast("long").alias("label"), F.size("embedding").alias("size"))
+    return sizes.agg(F.count("*").alias("n")).filter((F.col("size") > 0) & (F.col("n") > block_rows))
+
+
+def _prepare(vectors: DataFrame, sizes: DataFrame, cosine: float, block_rows: int, seed: int) -> DataFrame:
+    """(vec_id, label, size, unit, lines, buckets) of the vectors that can link with anything.
+
+    ``sizes``: (label, size, n), as ``_label_sizes`` gives; what it lacks fits a block.
+    """
     schema = pa.schema(
         [("vec_id", pa.int64()), ("label", pa.int64()), ("size", pa.int32()), ("unit", pa.binary()), ("lines", pa.binary()), ("buckets", pa.list_(pa.int64()))]
     )
 
     def run(batches):
         for batch in batches:
-            held: dict[int, list] = {}
-            for vec_id, label, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held: dict[tuple, list] = {}
+            for vec_id, label, values, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if values and label is not None and None not in values:
                     vector = np.array(values, np.float64)
+                    shape = (len(values), *table_shape(n or 0, cosine, block_rows))
                     length = np.linalg.norm(vector)
                     if np.isfinite(length) and length > 0:
-                        held.setdefault(len(values), []).append((vec_id, label, vector / length))
+                        held.setdefault(shape, []).append((vec_id, label, vector / length))
                     elif np.isfinite(vector).all() and vector.any():  # its square is too large or too small
                         vector /= np.abs(vector).max()
-                        held.setdefault(len(values), []).append((vec_id, label, vector / np.linalg.norm(vector)))
-            for size, rows in held.items():
+                        held.setdefault(shape, []).append((vec_id, label, vector / np.linalg.norm(vector)))
+            for (size, tables, signs), rows in held.items():
                 unit = np.array([r[2] for r in rows])
                 lines = (unit @ _lines(LINES, size, seed)).astype(np.float32)
                 bits = (unit @ _lines(max(1, tables * signs), size, seed + 1) > 0)[:, : tables * signs].reshape(len(rows), tables, signs)
@@ -94,7 +106,10 @@ def _prepare(vectors: DataFrame, tables: int, signs: int, seed: int) -> DataFram
                     schema=schema,
                 )
 
-    columns = vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
+    if sizes.count() <= DEFAULT_LIMITS.broadcast_rows:
+        sizes = F.broadcast(sizes)
+    columns = vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding", F.size("embedding").alias("size"))
+    columns = columns.join(sizes, ["label", "size"], "left").select("vec_id", "label", "embedding", "n")
     return columns.mapInArrow(run, "vec_id long, label long, size int, unit binary, lines binary, buckets array<long>")
 
 
@@ -151,11 +166,10 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.93, seed: int = 7, blo
     first = rows.join(repeated, "vec_id").groupBy("vec_id").agg(F.min(F.struct("embedding", "label")).alias("x"))
     once = rows.filter("vec_id is not null").join(repeated, "vec_id", "left_anti")
     once = once.unionByName(first.select("vec_id", "x.label", "x.embedding"))
-    largest = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    tables, signs = table_shape(largest, cosine, block_rows)
     delta = sqrt(2 - 2 * cosine)
     half, needed = REACH * delta, collisions_needed()
-    prepared = materialise(_prepare(once, tables, signs, seed), "projections")
+    sizes = materialise(_label_sizes(once, block_rows), "label-sizes")
+    prepared = materialise(_prepare(once, sizes, cosine, block_rows, seed), "projections")
     dealt = deal_in_blocks(
         prepared.select("*", F.posexplode("buckets").alias("table", "bucket")), ["label", "size", "table", "bucket"], "vec_id", block_rows
     )
