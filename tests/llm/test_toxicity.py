@@ -55,6 +55,17 @@ def labelled(spark, docs, gibberish):
     return docs(rows), spark.createDataFrame(labels + [(1, None, 1), (None, 1, 1)], "doc_id long, toxic int, quality int"), dict(x[:2] for x in labels)
 
 
+def test_fit_rows_bounds_rows(spark, docs):
+    keys = spark.range(400).filter(~toxicity.held_out("id"))
+    labels = keys.select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    ids = sorted(r.id for r in keys.collect())
+    rows = [(i, f"text {i}", "a") for i in ids]
+    rows += [(ids[0], f"other {k}", "a") for k in range(200)] + [(ids[1], f"text {ids[1]}", "a")] * 100  # one id, one row
+    assert toxicity._sample(docs(rows), labels, 50).count() <= 50
+    every = [r.text for r in toxicity._sample(docs(rows), labels, 20_000).collect()]
+    assert sorted(every) == sorted({t for _, t, _ in rows})
+
+
 def test_held_out_rows_are_found(spark, labelled):
     table, labels, truth = labelled
     model = toxicity.fit(table, labels)

@@ -209,12 +209,20 @@ def held_out(doc_id: Column | str) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
-    """At most ``fit_rows`` labelled rows: text, toxic, and which half (cues or weights) they are for."""
+    """At most ``fit_rows`` labelled rows, chosen by hash: text, toxic, and which half (cues or weights) they are for.
+
+    Rows equal in doc_id and text count once; a doc_id with several texts is several rows.
+    """
     known = labels.filter(~held_out("doc_id") & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit("fit"), "doc_id")
     chosen = F.broadcast(known.orderBy(order, "doc_id").limit(fit_rows))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id")
-    return materialise(rows.select("text", "toxic", (F.pmod(order, F.lit(2)) == 0).alias("for_cues")), "toxic-fit")
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").withColumn("h", F.xxhash64("text"))
+    once = rows.groupBy("doc_id", "toxic", "h").agg(F.first("text").alias("text"))
+    once = materialise(once.withColumn("for_cues", F.pmod(order, F.lit(2)) == 0), "toxic-fit")
+    if once.count() > fit_rows:  # ids with several texts
+        few = once.select("doc_id", "h").orderBy(F.xxhash64(F.lit("fit"), "doc_id", "h"), "doc_id", "h").limit(fit_rows)
+        once = materialise(once.join(F.broadcast(few), ["doc_id", "h"]), "toxic-fit")
+    return once.select("text", "toxic", "for_cues")
 
 
 def _cues(sample: DataFrame) -> dict[str, str]:
