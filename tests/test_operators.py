@@ -290,6 +290,14 @@ def test_totals_plan_has_one_shuffle_of_the_facts(small_panel):
     assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
+def test_long_axis_stays_out_of_the_driver(spark):
+    df = spark.range(300).selectExpr("id % 3 as k", "id as t", "1.0D as v")
+    grid = totals.dense_totals(df, "k", "t", "v", limits=Limits(wide_years=10))
+    assert "BroadcastNestedLoopJoin" in grid._jdf.queryExecution().executedPlan().toString()  # with the axis as one row, not a literal
+    got = rows_of(grid, "k", "t", "total_discharges")
+    assert sorted(got) == [(k, t, float(t % 3 == k)) for k in range(3) for t in range(300)]
+
+
 # -- split -----------------------------------------------------------------------
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from ..functions import relative_change, zero_if_null
 from ..roles import DEFAULT_LIMITS, Limits
@@ -19,10 +18,10 @@ def dense_totals(
     One conditional sum per year puts the whole grid row of a key into a single
     aggregation, so the fact table is shuffled once, after map-side combining,
     and no key-by-year product is ever joined.  With many years each key gets a
-    map of its sums instead.  A key whose times are all null has zeros only.
+    map of its sums instead, and the axis reaches it as a row of a table.  A key whose times are all null has zeros only.
     """
     found = df.select(time).filter(F.col(time).isNotNull()).distinct()
-    times = sorted(r[0] for r in found.collect())  # the axis: one value per year, and every key has them all
+    times = sorted(r[0] for r in found.limit(limits.wide_years + 1).collect())
     df = df.filter(F.col(key).isNotNull())
     if not times:
         return df.select(key, time, F.lit(0.0).alias(name)).limit(0)
@@ -36,8 +35,8 @@ def dense_totals(
     sums = df.groupBy(key, time).agg(F.sum(volume).alias(name))
     entry = F.when(F.col(time).isNotNull(), F.struct(time, name))
     maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("__m"))
-    axis_values = F.lit(times).cast(ArrayType(axis))
-    grid = maps.select(key, "__m", F.explode(axis_values).alias(time))
+    axis_row = found.agg(F.collect_set(time).alias("__axis"))  # one value per year, and every key has them all
+    grid = maps.crossJoin(F.broadcast(axis_row)).select(key, "__m", F.explode("__axis").alias(time))
     return grid.select(key, time, zero_if_null(F.try_element_at("__m", F.col(time))).alias(name))
 
 
