@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from yearloom.llm import packing, tokens
+from yearloom.llm import packing, tokenizer, tokens
 from yearloom.llm.common import create_file, open_file
 from yearloom.llm.tokenizer import Encoder, default_path
 
@@ -22,6 +22,24 @@ def library():
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    cased = json.loads(open(default_path(), encoding="utf-8").read())
+    cased["normalizer"] = None
+    (tmp_path / "cased.json").write_text(json.dumps(cased))
+    texts = ["Hello  World", "it's A\nnew Line, über 12 x", "", None, "lower words only"]
+    for path in (str(tmp_path / "cased.json"), public_tokenizers.path("byte_bpe_50k.json")):
+        whole, own = Tokenizer.from_file(path), Encoder(path)
+        for text in texts:
+            assert np.frombuffer(own.ids(text), np.uint32).tolist() == whole.encode(text or "", add_special_tokens=False).ids
+    (tmp_path / "same.json").write_text(open(default_path(), encoding="utf-8").read())
+    assert tokenizer.by_words(str(tmp_path / "same.json"))
+
+
 def test_words_give_the_ids_of_whole_texts(library, gibberish):
     encoder = Encoder(default_path())
     for text in [*ODD, *(gibberish(i, 200) for i in range(5)), gibberish(9, 3).title() + ".\n" + gibberish(8, 50)]:

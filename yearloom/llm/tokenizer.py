@@ -5,10 +5,14 @@ or patterns reaches over a space, so a text's ids are the ids of its words in
 turn.  Each worker keeps the ids of words it has met; a new word of plain
 Latin letters is cut by the tokenizer's own split pattern and its pieces are
 looked up the same way, any other word is encoded by the library as it is.
+
+All this holds for files with the rules of that tokenizer only; with any other
+file the library encodes each text as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 from struct import pack
@@ -27,6 +31,24 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _rules(path: str) -> dict:
+    """All that a tokenizer file says but its vocabulary: what cuts texts, and what happens to the pieces."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    model = {k: v for k, v in (said.get("model") or {}).items() if k not in ("vocab", "merges")}
+    added = [{k: v for k, v in token.items() if k != "id"} for token in said.get("added_tokens") or []]
+    return {k: said.get(k) for k in ("normalizer", "pre_tokenizer", "truncation", "padding")} | {"model": model, "added": added}
+
+
+def by_words(path: str) -> bool:
+    """Whether a file has the rules of the word tokenizer, for which texts may be encoded word by word."""
+    try:
+        known = default_path()
+    except ImportError:
+        return False
+    return path == known or _rules(path) == _rules(known)
+
+
 def _byte_letters() -> dict[int, str]:
     """For each byte the letter that stands for it in a byte-level vocabulary: itself if printable, else the next from 256."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -74,9 +96,18 @@ class Encoder:
     """``ids(text)``: the text's ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        self._words = _Words(path)
+        self._words = _Words(path) if by_words(path) else None
+        if self._words is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(path)
+            self._whole.no_truncation()
+            self._whole.no_padding()
 
     def ids(self, text: str | None) -> bytes:
+        if self._words is None:
+            found = self._whole.encode(text or "", add_special_tokens=False).ids
+            return pack(f"<{len(found)}I", *found)
         text = (text or "").replace("\n", " ")
         if text.isascii() and "<|" not in text:  # fewer distinct words; the tokenizer lowers case itself
             text = text.lower()
