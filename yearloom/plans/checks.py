@@ -142,6 +142,12 @@ def importance_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(every.agg(F.count("*").alias("n_features"), F.sum("importance").alias("importance")))
 
 
+def permuted_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many features of the first task have a permutation importance, and how many rows say so."""
+    rises = queries.permutation_query(spark, sf_dir).filter("rmse_increase is not null")
+    return rises.agg(F.count("*").alias("n_rows"), F.count_distinct("feature").alias("n_features"))
+
+
 def feature_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features of every row, after every stage, as the models see them."""
     tables = feature_tables(spark, sf_dir)
@@ -250,6 +256,7 @@ def registered() -> dict[str, Query]:
         "n1_additive_rows": additive_rows,
         "n5_dependence_rows": dependence_rows,
         "n6_importance_sum": importance_sum,
+        "n7_permutation_rows": permuted_features,
     }
 
 
@@ -304,4 +311,5 @@ def oracle_sql() -> dict[str, str]:
         "n1_additive_rows": panel_sql(f"select least(300, {tested}) as n_rows, least(300, {tested}) as n_additive"),
         "n5_dependence_rows": panel_sql(f"select least(300, {tested}) as n_rows, 1 as n_features"),
         "n6_importance_sum": panel_sql("select 42 as n_features, 1.0 as importance from (select count(*) as n from panel) where n > 0"),
+        "n7_permutation_rows": panel_sql("select 42 as n_rows, 42 as n_features from (select count(*) as n from panel) where n > 0"),
     }

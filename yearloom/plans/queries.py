@@ -22,7 +22,7 @@ from ..scale import materialise, sample_rows
 from .derived_panel import PANEL_SETTINGS, panel, state, table
 from .features import FeatureTables, build_features
 from .run import explain_task, forecasts
-from .tasks import TASKS, FittedTask, all_pairs, metrics_table, run_tasks
+from .tasks import TASKS, FittedTask, all_pairs, metrics_table, run_tasks, task_identity
 
 R = DEFAULT_ROLES
 S = PANEL_SETTINGS
@@ -257,8 +257,10 @@ def importance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def permutation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    task = fitted_tasks(spark, sf_dir)["2"]
-    return explain.permutation_importance(task.model, task.test, task.features, [R.prefix_code, R.time])
+    """All test rows and features of the first task."""
+    task = fitted_tasks(spark, sf_dir)["1a"]
+    identity = task_identity(task.task, feature_tables(spark, sf_dir), R)
+    return explain.permutation_importance(task.model, task.test, task.features, identity)
 
 
 def forecast_query(spark: SparkSession, sf_dir: str) -> DataFrame:
