@@ -121,6 +121,66 @@ select s.doc_id, len(s.s) as n_shingles, coalesce(c.component_id, o.rep, s.doc_i
 from sets s left join of o on o.doc_id = s.doc_id left join c on c.a = o.rep
 """
 
+_AUDIT = r"""
+with d as (
+    select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+    from documents
+), l as (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by 1),
+fails as (
+    select part, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as toxic,
+           len(w) < 50 as a, 100 * len(list_distinct(w)) < 65 * len(w) as b,
+           100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) as c,
+           regexp_matches(text, '[#$%&*|]') as d, coalesce(doc_id > min(doc_id) over (partition by text), false) as e
+    from d left join l using (doc_id)
+), m as (
+    select part, case when a then 'A' else '' end || case when b then 'B' else '' end || case when c then 'C' else '' end
+             || case when d then 'D' else '' end || case when e then 'E' else '' end as failed,
+           count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic
+    from fails group by all
+), f as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+    select p.x || q.x || r.x || s.x || t.x as filter_order from f p, f q, f r, f s, f t
+    where len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), steps as (
+    select filter_order, step, substr(filter_order, step, 1) as x, substr(filter_order, 1, step - 1) as before
+    from orders, (select unnest([1, 2, 3, 4, 5]) as step)
+), counted as (
+    select part, filter_order, step, x,
+           coalesce(sum(n) filter (t.hit and not t.gone), 0) as removed,
+           coalesce(sum(n) filter (t.hit and t.gone), 0) as redundant, coalesce(sum(n) filter (failed = x), 0) as unique_fails,
+           coalesce(sum(good) filter (t.hit and not t.gone), 0) as good_lost, coalesce(sum(toxic) filter (t.hit and not t.gone), 0) as toxic_lost,
+           sum(n) as total, coalesce(sum(n) filter (t.gone or t.hit), 0) as lost
+    from (select m.*, s.*, contains(failed, x) as hit, before <> '' and regexp_matches(failed, '[' || before || '_]') as gone from m, steps s) t
+    group by part, filter_order, step, x
+)
+select part, filter_order, cast(step as integer) as step, cast(total - lost as bigint) as kept, cast(removed as bigint) as removed,
+       cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+       cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, x) as bigint) as shapley
+from counted
+"""
+
+_NEGATIVES = """
+with v as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+           list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+    from embeddings
+    where label is not null and embedding is not null and len(embedding) > 0
+      and not list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)
+), s as (
+    select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.e, b.e) as bigint) as score
+    from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+), p as (
+    select anchor_id, vec_id as positive_id, score as positive_score from s where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, cast(row_number() over w as integer) as rank, s.vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+window w as (partition by anchor_id, positive_id order by score desc, s.vec_id)
+qualify row_number() over w <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -129,4 +189,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc": _WARC,
         "op6_vectors": _VECTORS,
         "op9_minhash": _MINHASH,
+        "op11_audit": _AUDIT,
+        "op13_negatives": _NEGATIVES,
     }

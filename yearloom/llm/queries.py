@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yearloom.llm import chat, fingerprint, minhash, mixing, packing, secrets, tokens, toxicity, vectors, warc
+from yearloom.llm import audit, bpe, chat, fingerprint, minhash, mixing, negatives, packing, secrets, tokens, toxicity, vectors, warc
 from yearloom.llm.common import table
 
 
@@ -64,9 +64,22 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_toxicity, op2_chat, op3_merkle, op4_warc, op5_secrets, op6_vectors, op7_mixing, op8_token_planes, op9_minhash,
-        op10_best_fit,
+        op10_best_fit, op11_audit, op12_byte_bpe, op13_negatives,
     )
     return {f.__name__: f for f in every}
