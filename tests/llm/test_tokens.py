@@ -47,7 +47,7 @@ def test_words_give_the_ids_of_whole_texts(library, gibberish):
 
 
 def test_cache_limit_changes_nothing(library, gibberish, monkeypatch):
-    monkeypatch.setattr("yearloom.llm.tokenizer.CACHE_WORDS", 10)
+    monkeypatch.setattr("yearloom.llm.tokenizer._Words.most", 10)
     encoder = Encoder(default_path())
     for i in range(5):
         text = gibberish(i, 100)

@@ -1,42 +1,140 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from yearloom.llm import toxicity
 
 
-def test_clause_readings():
-    read = toxicity.readings_of
-    assert read("You are an idiot.") == {"targeted insult": 1}
-    assert read("What an idiot!") == {"insult": 1}
-    assert read("He is not stupid.")["targeted insult"] == 0 and read("It is not stupid.") == {"negated insult": 1}
-    assert read("The paper said pathetic scum.") == {"reported insult": 1}
-    assert read("They wrote: idiot") == {"insult": 1}  # a new clause after the colon
-    assert read("I will kill you. I will hurt them") == {"threat": 2}
-    assert read("you moron, you idiot; you fool. fool") == {"targeted insult": 2, "insult": 1}
-    assert read("no clowns\nclown") == {"negated insult": 1, "insult": 1}
-    assert read("idiotic scummy") == {} and read("") == {} and read(None) == {}
-    assert read("Du bist ein Trottel!") == {"targeted insult": 1}
-
-
-def test_composition_is_stepwise():
-    machine = toxicity.grammar()
-    r = random.Random(0)
-    for _ in range(200):
-        symbols = [r.choice(toxicity.SYMBOLS) for _ in range(12)]
-        state, negated, reported, targeted = machine.start, False, False, False
-        for s in symbols:
-            state, out = machine.step(state, s)
-            if s == "end":
-                negated = reported = targeted = False
-            elif s in ("insult", "strong", "weak", "threat"):
-                how = "negated " if negated else "reported " if reported else "targeted " if targeted else ""
-                assert out == how + s
-            negated |= s == "negation"
-            reported |= s == "reported"
-            targeted |= s == "target"
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("You are an idiot.", {"targeted insult": 1}),
+        ("What an idiot!", {"insult": 1}),
+        ("idiots like you", {"targeted insult": 1}),
+        ("You are a total idiot", {"targeted intense insult": 1}),
+        ("total nonsense, idiot", {"insult": 1}),
+        ("It is not stupid.", {"negated insult": 1}),
+        ("an idiot you are not", {"targeted negated insult": 1}),
+        ("You idiot did not listen", {"targeted insult": 1}),
+        ("Not now, idiot", {"insult": 1}),
+        ("The paper said pathetic scum.", {"reported insult": 1}),
+        ("You are an idiot, he said", {"targeted reported insult": 1}),
+        ("They wrote: idiot", {"targeted reported insult": 1}),
+        ("He said so. Idiot", {"insult": 1}),
+        ("What an idiot, they left", {"insult": 1}),
+        ("I will kill you. I will hurt them", {"targeted intended threat": 2}),
+        ("they kill time", {"targeted threat": 1}),
+        ("you moron, you idiot; you fool. fool", {"targeted insult": 2, "insult": 1}),
+        ("no clowns\nclown", {"negated insult": 1, "insult": 1}),
+        ("I don't say it, he's stupid", {"targeted insult": 1}),
+        ("idiotic scummy", {}),
+        ("", {}),
+        (None, {}),
+        ("Du bist ein Trottel!", {"targeted insult": 1}),
+        ("Ein Trottel bist du nicht.", {"targeted negated insult": 1}),
+        ("Ich werde dich töten", {"targeted intended threat": 1}),
+        ("Du bist ein Trottel, sagte er", {"targeted reported insult": 1}),
+        ("T'es pas un crétin", {"targeted negated insult": 1}),
+        ("Je vais te tuer", {"targeted intended threat": 1}),
+        ("Crétin, dit-il", {"reported insult": 1}),
+        ("idiota como tú", {"targeted insult": 1}),
+        ("no eres idiota", {"negated insult": 1}),
+        ("Voy a matarte", {"intended threat": 1}),
+    ],
+)
+def test_clause_readings(text, want):
+    assert toxicity.readings_of(text) == want
+
+
+def marks_by_definition(symbols):
+    """Of each attack in a clause (kind, marks), from what stands on both sides of it."""
+    out = set()
+    for i, kind in enumerate(symbols):
+        if kind not in toxicity.ATTACKS:
+            continue
+        before, after = symbols[:i], symbols[i + 1 :]
+        near = before[max((k + 1 for k, s in enumerate(before) if s == "pause"), default=0) :]
+        part = after[: after.index("pause")] if "pause" in after else after
+        marks = set()
+        if "target" in before or "target" in part:
+            marks.add("targeted")
+        if kind == "threat" and "intent" in near:
+            marks.add("intended")
+        if kind != "threat" and before[-1:] == ["intense"]:
+            marks.add("intense")
+        if "negation" in near or part[-1:] == ["negation"]:
+            marks.add("negated")
+        if "reported" in before + after:
+            marks.add("reported")
+        out.add((kind, frozenset(marks)))
+    return out
+
+
+def test_automata_equal_the_definition():
+    reader, r = toxicity.Reader({}), random.Random(0)
+    inner = [s for s in toxicity.SYMBOLS if s != "end"]
+    for _ in range(3000):
+        symbols = [r.choice(inner) for _ in range(r.randrange(9))]
+        assert reader.clause(symbols) == marks_by_definition(symbols)
+
+
+def score_by_definition(text, cues, weights):
+    """A text's score without automata or caches."""
+    clauses, last = [[]], None
+    for raw in (text or "").lower().replace("\n", " . ").split():
+        word, kinds = re.sub(r"^[^\w]+|[^\w]+$", "", raw), []
+        lookup = lambda w: next((k for k in toxicity.SYMBOLS if any(toxicity_kind(s, cues) == k for s in toxicity.stems(w))), None)
+        if word:
+            whole = lookup(word) or toxicity_kind(re.sub("[-'’]", "", word), cues)
+            kinds = [whole] if whole else [k for p in re.split("[-'’]", word) for k in [lookup(p) if p else None] if k] if re.search("[-'’]", word) else []
+        stop = "end" if re.search("[.!?;]", raw) else "pause" if re.search("[,:]", raw) else None
+        if not kinds and last in ("negation", "intense"):
+            clauses[-1].append("word")
+        clauses[-1] += kinds
+        last = None if stop else (kinds or [None])[-1]
+        if stop == "pause":
+            clauses[-1].append("pause")
+        elif stop:
+            clauses.append([])
+    counts = Counter(x for c in clauses for x in marks_by_definition(c))
+    z = weights[-1]
+    for f, w in zip(toxicity.FEATURES, weights):
+        z += w * sum(math.log1p(n) for (kind, marks), n in counts.items() if f == kind or f in marks)
+    z += weights[-2] * sum(counts.values()) / len(clauses)
+    return 1 / (1 + math.exp(-z))
+
+
+def toxicity_kind(word, cues):
+    if word in cues:
+        return cues[word]
+    return next((k for k, words in toxicity.LEXICON.items() if word in words.split()), None)
+
+
+def test_whole_score_equals_the_definition(gibberish):
+    r = random.Random(3)
+    weights = tuple(r.uniform(-1, 1) for _ in range(len(toxicity.FEATURES) + 1))
+    cues = {"ba-": "weak", "kuto-": "strong", "dolo": "strong"}
+    model, reader = toxicity.Model(cues, weights), toxicity.Reader(cues)
+    some = "idiot you're not, no: said will kill such don't t'es dit-il. x! über;".split() + ["\n", "'", "--", "kutolo", "bafe"]
+    for i in range(200):
+        words = gibberish(i, 20).split() + r.choices(some, k=25)
+        r.shuffle(words)
+        text = " ".join(words)
+        assert model.score(reader.readings(text)) == pytest.approx(score_by_definition(text, cues, weights), abs=1e-9)
+
+
+def test_weights_keep_their_bounds():
+    r = np.random.default_rng(0)
+    x = r.poisson(0.5, (500, len(toxicity.FEATURES))).astype(float)
+    y = (x[:, 0] - x[:, 4] + x[:, 7] + r.normal(0, 0.3, 500) > 0.5).astype(float)
+    w = toxicity.fit_weights(x, y)
+    assert w[0] > 1 and w[4] == 0.0 and w[7] == 0.0 and (w[[7, 8]] <= 0).all() and (w[:7] >= 0).all()
 
 
 @pytest.fixture

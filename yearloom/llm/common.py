@@ -70,6 +70,49 @@ def open_file(path: str) -> pa.NativeFile:
     return store.open_input_file(inner)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, lengthened until it is no column of ``df`` (in any case of letters) and no other of these."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+class Remembered(dict):
+    """What a worker has found for keys lately: ``find(key)`` is asked for the others.
+
+    Two generations of at most ``most`` keys each: when the young one is full it
+    becomes the old one, so what is asked for often stays.  ``forget`` at the
+    end of a task leaves the memory to the next.
+    """
+
+    most = 100_000
+
+    def __init__(self):
+        super().__init__()
+        self._old: dict = {}
+
+    def find(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        found = self._old.get(key)
+        if found is None:
+            found = self.find(key)
+        if len(self) >= self.most:
+            self._old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+    def forget(self) -> None:
+        self.clear()
+        self._old = {}
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """The rows of all batches as tuples of Python values."""
     for batch in batches:

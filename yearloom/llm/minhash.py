@@ -35,9 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yearloom.llm.blocks import deal_in_blocks
-from yearloom.llm.common import session
+from yearloom.llm.common import session, unused
 from yearloom.llm.components import components
 from yearloom.llm.shingles import mix, shingle_sets
+from yearloom.roles import DEFAULT_LIMITS
 from yearloom.scale.written import materialise
 
 _U = np.uint64
@@ -405,3 +406,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return rows.select("doc_id", "h", "n_shingles", component.alias("component_id"), "component").withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
+
+
+def one_per_component(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component of ``found`` one, with the least doc_id; all texts without words.
+
+    ``found``: what ``near_duplicates`` gives for ``docs``, written.  Components
+    are told apart whatever their ids, nulls included; of rows alike in doc_id
+    and text any one stays, with all its columns, whatever their names.  Such
+    rows are found by digests alone, and brought together only after each task
+    has kept one of them.  An empty table gives no rows.
+    """
+    key = unused(docs, "id", "id_null", "hash")
+    named = [F.coalesce("doc_id", F.lit(0)).alias(key[0]), F.col("doc_id").isNull().alias(key[1])]
+    # The kept rows of one component share their doc_id.
+    worded = found.filter("kept and n_shingles > 0").groupBy("component").agg(F.first("doc_id").alias("doc_id"), F.min("h").alias("h"))
+    empty = found.filter("n_shingles = 0").select("doc_id", "h").distinct()
+    alike = found.filter("n_shingles > 0").groupBy(*named, F.col("h").alias(key[2])).count().filter("count > 1").select(*key)
+    alike = worded.select(*named, F.col("h").alias(key[2])).join(alike, key, "left_semi")
+    alike = materialise(alike, "kept-alike")
+    single = worded.select("doc_id", "h").unionByName(empty).select(*named, F.col("h").alias(key[2]))
+    single = materialise(single.join(alike, key, "left_anti"), "kept-single")
+    rows = docs.select("*", *named, F.xxhash64("text").alias(key[2]))
+    stay = rows.join(single, key, "left_semi").select(*docs.columns)
+    n = alike.count()
+    if not n:
+        return stay
+    several = rows.join(F.broadcast(alike) if n <= DEFAULT_LIMITS.broadcast_rows else alike, key, "left_semi")
+    one = several.groupBy(*key).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return stay.unionByName(one.select("row.*"))

@@ -10,10 +10,10 @@ number picked.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from yearloom.llm.common import session
+from yearloom.llm.common import session, unused
 from yearloom.scale.written import materialise
 
 # Weights by a source's place in the order of names.
@@ -113,27 +113,24 @@ def _knapsack(lengths: list[tuple[int, int]], picked: dict[int, int], left: int)
     return picked
 
 
-def _source_key(source: Column) -> list[Column]:
-    return [F.coalesce(source, F.lit("")).alias("_s"), source.isNull().alias("_z")]
-
-
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 42) -> DataFrame:
     """``docs`` (all columns) with size, source_size, target, passes and taken.
 
     ``passes`` is how often the mix repeats the document and ``taken`` its words
     times that.  Null texts have size 0 and are never repeated; null sources are
-    one source; rows with equal hash and doc_id are the same to the choice, and
-    as many of them are picked as their number asks.  Columns of ``docs`` with
-    the added names give way to them; an empty table gives no rows.
+    one source; rows equal in doc_id and text are the same to the choice, and
+    as many of them are picked as their number asks.  Texts of any length count
+    whole.  Columns of ``docs`` with the added names give way to them, any other
+    stays; an empty table gives no rows.
     """
     session(docs)
     added = ["size", "source_size", "target", "passes", "taken"]
     sized = with_sizes(docs.drop(*added))
-    key = sized.select(
-        "source", "size", F.xxhash64(F.lit(seed), "doc_id").alias("_h"), F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BUCKETS)).alias("_b")
-    )
+    # The text is part of the hash, so that rows under one doc_id spread over the buckets.
+    chance = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
     # Documents by source, length and hash bucket: all that is counted comes from here.
-    counts = materialise(key.groupBy("source", "size", "_b").agg(F.count("*").alias("n")), "mix-counts")
+    key = sized.select("source", "size", F.pmod(chance, F.lit(BUCKETS)).alias("bucket"))
+    counts = materialise(key.groupBy("source", "size", "bucket").agg(F.count("*").alias("n")), "mix-counts")
     per_length = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
     wanted = targets(per_length.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most)
     wanted = materialise(wanted, "mix-targets")
@@ -159,24 +156,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     )
     # Of each length, the k documents with the smallest hashes: buckets before the cut are in as a whole, the one
     # that holds the cut is ranked.
-    order = Window.partitionBy("source", "size").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     places = counts.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    name, null, bucket, h, whole, k = unused(sized, "source_name", "source_null", "bucket", "hash", "whole", "k")
+    key = [F.coalesce("c.source", F.lit("")).alias(name), F.col("c.source").isNull().alias(null)]
     cut = materialise(
         places.alias("c")
         .join(plan.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source")) & (F.col("c.size") == F.col("p.size")))
         .select(
-            *_source_key(F.col("c.source")), F.col("c.size").alias("size"), F.col("c._b").alias("_b"), "source_size", "target", "whole",
-            F.greatest(F.lit(0), F.least("n", F.col("k") - F.col("before"))).alias("_k"),
+            *key, F.col("c.size").alias("size"), F.col("c.bucket").alias(bucket), "source_size", "target", F.col("whole").alias(whole),
+            F.greatest(F.lit(0), F.least("n", F.col("k") - F.col("before"))).alias(k),
         ),
         "mix-cuts",
     )
     # Plain key columns, so that the join and the ranking share one exchange of the documents.
-    group = ["_s", "_z", "size", "_b"]
-    hashed = sized.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
-    both = hashed.select("*", *_source_key(F.col("source"))).join(cut, group)
-    ranked = Window.partitionBy(*group).orderBy("_h", "doc_id")
-    chosen = F.row_number().over(ranked) <= F.col("_k")
-    passes = F.when(F.col("size") > 0, F.col("whole") + chosen.cast("int")).otherwise(F.col("whole"))
+    group = [name, null, "size", bucket]
+    hashed = sized.withColumns({h: chance, name: F.coalesce("source", F.lit("")), null: F.col("source").isNull()})
+    both = hashed.withColumn(bucket, F.pmod(F.col(h), F.lit(BUCKETS))).join(cut, group)
+    ranked = Window.partitionBy(*group).orderBy(h, "doc_id")
+    chosen = F.row_number().over(ranked) <= F.col(k)
+    passes = F.when(F.col("size") > 0, F.col(whole) + chosen.cast("int")).otherwise(F.col(whole))
     return both.withColumn("passes", passes).withColumn("taken", F.col("size") * F.col("passes")).select(
         *[c for c in docs.columns if c not in added], *added
     )

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yearloom.llm.common import rows_of, session, to_batches
-from yearloom.llm.tokenizer import default_path, encoder
+from yearloom.llm.tokenizer import default_path, encoding
 from yearloom.scale.written import materialise
 
 SEQUENCE = 4096
@@ -78,12 +78,12 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capac
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            ids_of = encoder(path).ids
-            for doc_id, text in rows_of(batches):
-                ids = memoryview(ids_of(text) + end)
-                for number, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    yield doc_id, number, at // 4, len(part) // 4, zlib.crc32(part)
+            with encoding(path) as ids_of:
+                for doc_id, text in rows_of(batches):
+                    ids = memoryview(ids_of(text) + end)
+                    for number, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        yield doc_id, number, at // 4, len(part) // 4, zlib.crc32(part)
 
         yield from to_batches(rows(), _PIECES)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from re import _constants as sre
 from re import _parser
 
-from yearloom.llm.common import session
+from yearloom.llm.common import session, unused
 from yearloom.scale.written import materialise
 
 #: Strings that a run of a pattern may stand for before it is cut; more would only weaken a query, never a result.
@@ -173,8 +173,9 @@ def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     """``docs`` (doc_id, text, any more) with ``spans``: kind, start and stop (exclusive) in code points.
 
     Spans are in order of start, then of the rules; those of one rule never
-    overlap.  Null texts have none; repeated rows get the same spans each; a
-    column named ``spans`` gives way; an empty table gives no rows.
+    overlap.  Null texts have none; texts of any length are read whole; repeated
+    rows and rows with a null doc_id get the same spans each; a column named
+    ``spans`` gives way, any other stays; an empty table gives no rows.
     """
     spark = session(docs)
     docs = docs.drop("spans")
@@ -182,7 +183,8 @@ def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     chosen = materialise(candidates(build_index(docs, rules), rules), "secret-candidates")
     if chosen.count() <= BROADCAST_CANDIDATES:
         chosen = F.broadcast(chosen)
-    rows = docs.withColumn("_key", text_key()).join(chosen.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+    key, numbers = unused(docs, "key", "rules")
+    rows = docs.withColumn(key, text_key()).join(chosen.toDF(key, numbers), key, "left").select(*docs.columns, numbers)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,11 +14,15 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from struct import pack
 
-#: Words kept by a worker; beyond that it forgets all and starts again, which bounds memory and changes no result.
-CACHE_WORDS = 600_000
+from yearloom.llm.common import Remembered
+
+#: Words kept in each of a worker's two generations: about 30 MB each.
+CACHE_WORDS = 150_000
 
 # The split pattern of the word tokenizer for lower-case ASCII and Latin-1 letters.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -57,39 +61,29 @@ def _byte_letters() -> dict[int, str]:
     return letters
 
 
-class _Parts(dict):
-    """Ids of the pieces met so far; a new piece goes through the vocabulary's merges."""
-
-    def __init__(self, model):
-        super().__init__()
-        self._tokenize = model.tokenize
-        self._letters = _byte_letters()
-
-    def __missing__(self, part: str) -> bytes:
-        word = part if part.isascii() else "".join([self._letters[b] for b in part.encode()])
-        found = [t.id for t in self._tokenize(word)]
-        self[part] = ids = pack(f"<{len(found)}I", *found)
-        return ids
-
+class _Words(Remembered):
+    """Ids of the words, and of the pieces of words, met lately; a new piece goes through the vocabulary's merges."""
 
-class _Words(dict):
-    """Ids of the words met so far."""
+    most = CACHE_WORDS
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
-        self.parts = _Parts(self._tokenizer.model)
+        self._merged = self._tokenizer.model.tokenize
+        self._letters = _byte_letters()
 
-    def __missing__(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word) and "<|" not in word:
-            ids = b"".join(map(self.parts.__getitem__, _PIECES.findall(word.lower())))
-        else:
+    def find(self, word: str) -> bytes:
+        if not _PLAIN.fullmatch(word) or "<|" in word:
             found = self._tokenizer.encode(word, add_special_tokens=False).ids
-            ids = pack(f"<{len(found)}I", *found)
-        self[word] = ids
-        return ids
+            return pack(f"<{len(found)}I", *found)
+        pieces = _PIECES.findall(word.lower())
+        if len(pieces) != 1:  # each piece is one piece when cut again
+            return b"".join(map(self.__getitem__, pieces))
+        piece = pieces[0] if pieces[0].isascii() else "".join([self._letters[b] for b in pieces[0].encode()])
+        found = [t.id for t in self._merged(piece)]
+        return pack(f"<{len(found)}I", *found)
 
 
 class Encoder:
@@ -111,15 +105,23 @@ class Encoder:
         text = (text or "").replace("\n", " ")
         if text.isascii() and "<|" not in text:  # fewer distinct words; the tokenizer lowers case itself
             text = text.lower()
-        known = self._words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        if len(known.parts) > CACHE_WORDS:
-            known.parts.clear()
-        return b"".join(map(known.__getitem__, text.split(" ")))
+        return b"".join(map(self._words.__getitem__, text.split(" ")))
+
+    def forget(self) -> None:
+        if self._words is not None:
+            self._words.forget()
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file."""
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
     return Encoder(path)
+
+
+@contextmanager
+def encoding(path: str) -> Iterator[Callable[[str | None], bytes]]:
+    """``ids`` of the worker's encoder for a tokenizer file; the words it met are forgotten at the end."""
+    own = _encoder(path)
+    try:
+        yield own.ids
+    finally:
+        own.forget()

@@ -1,30 +1,32 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols (insult, threat, target, negation, reported speech, clause
-end) by a lexicon: fixed words of four languages and cues learned from labelled
-rows.  Small transducers, each for one matter, are composed into one automaton
-that reads a clause's symbols and ends in a state that says what the clause
-does: insults or threatens, at a target or not, under negation or in reported
-speech.  Each such reading has a weight; a text's score is the logistic of its
-weighted clauses.
+Words become symbols: attacks (insult, threat and learned cues, strong or
+weak), what governs them (target, negation, reported speech, intent,
+intensifier), and the ends of clauses and of their parts.  Five transducers read
+a clause from left to right, three from right to left, since a target, a
+negation or a reporting verb may also stand behind the attack; each direction is
+one composed automaton.  An arc that marks an attack bears a weight, and the
+weight of an attack's path is that of its kind and of the marks that both
+directions gave it.  Marks of negation and reported speech never add, those of
+targets, intent and intensifiers never take off.  A text's score is the logistic
+of its clauses' paths.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yearloom.llm.common import session
+from yearloom.llm.common import Remembered, session
 from yearloom.scale.written import materialise
 
 # Words by what they do in a clause; English, German, French, Spanish.
@@ -33,14 +35,16 @@ LEXICON = {
         imbecile jerk jerks bastard bastards filth vermin dumbass crap freak cretin pig pigs ugly
         trottel depp arschloch dreck abschaum schwachkopf dumm widerlich wertlos versager
         crétin connard ordure débile minable salaud abruti stupide
-        imbécil estúpido estúpida basura escoria asqueroso patético cabrón""",
+        imbécil idiota idiotas estúpido estúpida basura escoria asqueroso patético cabrón""",
     "threat": """kill hurt beat destroy strangle shoot stab murder burn töten umbringen schlagen erschießen tuer frapper détruire
-        matar golpear destruir""",
-    "target": """you your yours yourself youre they them their those he she him her du dich dir ihr euch ihnen tu toi te vous
-        leur ils elles ustedes tú ti usted ellos ellas""",
-    "negation": "not no never neither nor isnt arent dont doesnt nicht kein keine nie niemals pas jamais ni nunca jamás",
+        matar matarte matarlos golpear golpearte destruir""",
     "reported": """said says wrote writes claimed claims called calls quoted quote reportedly sagte schrieb nannte angeblich
         dit écrit appelé selon dijo escribió llamó según""",
+    "negation": "not no never neither nor isnt arent dont doesnt wont nicht kein keine nie niemals pas jamais ni nunca jamás",
+    "intent": "will gonna going shall werde werden wirst vais vas voy vamos",
+    "intense": "such total complete absolute utter bloody damn völlig totaler absoluter tellement vraiment espèce muy tan maldito",
+    "target": """you your yours yourself youre they them their those he she him her du dich dir ihr euch ihnen tu toi te t vous
+        leur ils elles ustedes tú ti usted ellos ellas""",
 }
 
 #: Labelled rows that the model is fitted on at most, chosen by hash.
@@ -52,52 +56,66 @@ STEMS = (3, 4, 5, 6)
 CUE_DOCS, STRONG, WEAK = 6, 2.5, 1.5
 #: Cues of the model at most, the most telling first.
 CUES = 5_000
-#: Words that a worker remembers; beyond that it forgets all, which changes no result.
-CACHE_WORDS = 500_000
-
-SYMBOLS = ("insult", "strong", "weak", "threat", "target", "negation", "reported", "end")
-READINGS = tuple(f"{how}{what}" for what in ("insult", "strong", "weak", "threat") for how in ("", "targeted ", "negated ", "reported "))
+#: What attacks, what governs, what ends; a word that is several of them is the first.
+ATTACKS = ("insult", "strong", "weak", "threat")
+SYMBOLS = (*ATTACKS, "reported", "negation", "intent", "intense", "target", "word", "pause", "end")
+#: Arcs that mark an attack.
+MARKS = ("targeted", "intended", "intense", "negated", "reported")
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Arcs (state, symbol) -> (state, output); a missing arc stays and copies the symbol. ``start`` is its first state."""
+    """Arcs (state, symbol) -> (state, mark or None); a missing arc stays and marks nothing. ``start`` is the first state.
+
+    Attacks pass through with the marks of the arcs they take; all other symbols are copied.
+    """
 
     arcs: dict[tuple, tuple]
     start: object = 0
 
-    def step(self, state, symbol):
-        return self.arcs.get((state, symbol), (state, symbol))
+    def step(self, state, symbol) -> tuple:
+        state, mark = self.arcs.get((state, symbol), (state, None))
+        return state, (mark,) if isinstance(mark, str) else mark or ()
 
-    def then(self, other: Transducer, symbols) -> Transducer:
-        """The composition: the other reads this one's output."""
-        arcs, ahead, seen = {}, [(self.start, other.start)], {(self.start, other.start)}
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: the other reads what this one copies, and both marks stay."""
+        arcs, start = {}, (self.start, other.start)
+        ahead, seen = [start], {start}
         while ahead:
             a, b = ahead.pop()
-            for symbol in symbols:
-                a2, between = self.step(a, symbol)
-                b2, out = other.step(b, between)
-                arcs[(a, b), symbol] = (a2, b2), out
+            for symbol in SYMBOLS:
+                (a2, own), (b2, more) = self.step(a, symbol), other.step(b, symbol)
+                arcs[(a, b), symbol] = (a2, b2), own + more
                 if (a2, b2) not in seen:
                     seen.add((a2, b2))
                     ahead.append((a2, b2))
-        return Transducer(arcs, (self.start, other.start))
+        return Transducer(arcs, start)
+
+
+def _governed(symbol: str, mark: str, over: tuple[str, ...] = ATTACKS, until: tuple[str, ...] = ("end",)) -> Transducer:
+    """After ``symbol``, attacks get ``mark`` until one of ``until``."""
+    return Transducer({(0, symbol): (1, None)} | {(1, u): (0, None) for u in until} | {(1, a): (1, mark) for a in over})
+
 
+def forward() -> Transducer:
+    """Left to right: targets and reported speech govern the clause, negation and intent their part of it, an intensifier the next word."""
+    threat = _governed("intent", "intended", ("threat",), ("pause", "end"))
+    insult = Transducer({(0, "intense"): (1, None)} | {(1, s): (0, "intense" if s in ATTACKS[:3] else None) for s in SYMBOLS if s != "intense"})
+    negation = _governed("negation", "negated", until=("pause", "end"))
+    return threat.then(insult).then(negation).then(_governed("reported", "reported")).then(_governed("target", "targeted"))
 
-def grammar() -> Transducer:
-    """Negation, then reported speech, then targets; each marks the attacks that it governs until the clause ends."""
-    attacks = ("insult", "strong", "weak", "threat")
-    negation = {(0, "negation"): (1, "negation"), (1, "end"): (0, "end")}
-    negation |= {(1, a): (1, f"negated {a}") for a in attacks}
-    reported = {(0, "reported"): (1, "reported"), (1, "end"): (0, "end")}
-    reported |= {(1, a): (1, f"reported {a}") for a in attacks}
-    targeted = {(0, "target"): (1, "target"), (1, "end"): (0, "end")}
-    targeted |= {(1, a): (1, f"targeted {a}") for a in attacks}
-    return Transducer(negation).then(Transducer(reported), SYMBOLS).then(Transducer(targeted), SYMBOLS)
+
+def backward() -> Transducer:
+    """Right to left: a target governs its part of the clause, reported speech all of it, a negation only from the part's very end."""
+    negation = {(0, "negation"): (1, None)} | {(0, s): (2, None) for s in SYMBOLS if s not in ("negation", "pause", "end")}
+    negation |= {(1, a): (1, "negated") for a in ATTACKS} | {(i, s): (0, None) for i in (1, 2) for s in ("pause", "end")}
+    target = _governed("target", "targeted", until=("pause", "end"))
+    return Transducer(negation).then(_governed("reported", "reported")).then(target)
 
 
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
-_CLAUSE = re.compile(r"[.!?;:]")
+_CLAUSE, _PAUSE = re.compile(r"[.!?;]"), re.compile(r"[,:]")
+_JOINT = re.compile(r"[-'’]")
 
 
 def bare(word: str) -> str:
@@ -109,64 +127,89 @@ def stems(word: str) -> set[str]:
     return {word, *(f"{word[:n]}-" for n in STEMS if len(word) > n)}
 
 
-class _Symbols(dict):
-    """Symbols of raw words, found once each: a tuple of symbols, empty for most words."""
+class _Symbols(Remembered):
+    """Symbols of raw words: a tuple, empty for most words."""
 
     def __init__(self, cues: dict[str, str]):
         super().__init__()
-        self._known = {w: kind for kind, words in LEXICON.items() for w in words.split()} | cues
+        self._known = {w: kind for kind, words in reversed(LEXICON.items()) for w in words.split()} | cues
+
+    def _kind(self, word: str) -> str | None:
+        kinds = {self._known[s] for s in stems(word) if s in self._known}
+        return next((k for k in SYMBOLS if k in kinds), None)
 
-    def __missing__(self, raw: str) -> tuple[str, ...]:
-        word = bare(raw)
-        found = []
+    def find(self, raw: str) -> tuple[str, ...]:
+        word, found = bare(raw), []
         if word:
-            kinds = {self._known[s] for s in stems(word) if s in self._known} | {self._known.get(word.replace("'", ""))}
-            kind = next((k for k in SYMBOLS if k in kinds), None)
-            found = [kind] if kind else []
+            kind = self._kind(word) or self._known.get(_JOINT.sub("", word))
+            parts = [kind] if kind else [self._kind(p) for p in _JOINT.split(word) if p] if _JOINT.search(word) else []
+            found = [p for p in parts if p]
         if _CLAUSE.search(raw):
             found.append("end")
-        self[raw] = out = tuple(found)
-        return out
+        elif _PAUSE.search(raw):
+            found.append("pause")
+        return tuple(found)
 
 
 class Reader:
-    """Counts the readings of a text's clauses with the composed automaton."""
+    """Counts the readings of a text's clauses with the two composed automata."""
 
     def __init__(self, cues: dict[str, str]):
         self._symbols = _Symbols(cues)
-        self._automaton = grammar()
+        self._directions = forward(), backward()
+
+    def forget(self) -> None:
+        self._symbols.forget()
+
+    def clause(self, symbols: list[str]) -> set[tuple[str, frozenset]]:
+        """The readings of one clause: each attack's kind and its marks from both sides."""
+        marks = [set() for _ in symbols]
+        for machine, places in zip(self._directions, (range(len(symbols)), reversed(range(len(symbols)))), strict=True):
+            state = machine.start
+            for i in places:
+                state, own = machine.arcs[state, symbols[i]]
+                marks[i].update(own)
+        return {(s, frozenset(m)) for s, m in zip(symbols, marks, strict=True) if s in ATTACKS}
 
     def readings(self, text: str | None) -> Counter:
         """For each reading the number of clauses that have it, and ``clauses``."""
-        if len(self._symbols) > CACHE_WORDS:
-            self._symbols.clear()
-        arcs, state = self._automaton.arcs, self._automaton.start
-        start, found, clause = state, Counter(), set()
+        found, clause, attacks, open_word = Counter(), [], False, False
         found["clauses"] = 1
         words = (text or "").lower().replace("\n", " . ").split()
-        for symbol in [s for own in map(self._symbols.__getitem__, words) for s in own]:
-            if symbol == "end":
-                if clause:
-                    found.update(clause)
-                    clause = set()
-                found["clauses"] += 1
-                state = start
-            else:
-                state, out = arcs[state, symbol]
-                if out in _ATTACKS:
-                    clause.add(out)
-        found.update(clause)
+        for own in map(self._symbols.__getitem__, words):
+            if open_word and (not own or own[0] in ("pause", "end")):
+                clause.append("word")  # a plain word behind a negation or an intensifier
+            open_word = False
+            for symbol in own:
+                if symbol == "end":
+                    if attacks:
+                        found.update(self.clause(clause))
+                    found["clauses"] += 1
+                    clause, attacks = [], False
+                else:
+                    clause.append(symbol)
+                    attacks |= symbol in ATTACKS
+                    open_word = symbol in ("negation", "intense")
+        if attacks:
+            found.update(self.clause(clause))
         return found
 
 
-_ATTACKS = frozenset(READINGS)
-FEATURES = (*READINGS, "share")
+FEATURES = (*ATTACKS, *MARKS, "share")
 
 
 def features(found: Counter) -> list[float]:
-    """Log counts of each reading, and the share of clauses that attack."""
-    hits = sum(found[r] for r in READINGS)
-    return [*(math.log1p(found[r]) for r in READINGS), hits / found["clauses"]]
+    """What the weights of kinds and marks are multiplied by: log counts of the readings with them; and the share of clauses that attack."""
+    sums = dict.fromkeys(FEATURES, 0.0)
+    hits = 0
+    for reading, n in found.items():
+        if reading != "clauses":
+            kind, marks = reading
+            hits += n
+            for name in (kind, *marks):
+                sums[name] += math.log1p(n)
+    sums["share"] = hits / found["clauses"]
+    return [sums[name] for name in FEATURES]
 
 
 @dataclass
@@ -181,24 +224,31 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _prior() -> np.ndarray:
-    """Weights before any label is seen: attacks count, more so at a target, less so negated or reported."""
-    how = {"": 1.5, "targeted ": 2.0, "negated ": 0.3, "reported ": 0.3}
-    what = {"insult": 1.0, "strong": 1.0, "weak": 0.3, "threat": 0.2}
-    return np.array([h * w for (_, w), (_, h) in product(what.items(), how.items())] + [1.0, -2.5])
+#: Weights before any label is seen, and the bounds that labels cannot move them over.
+PRIOR = {"insult": 1.0, "strong": 1.0, "weak": 0.5, "threat": 0.5, "targeted": 0.5, "intended": 0.5, "intense": 0.3, "negated": -0.5, "reported": -0.5, "share": 1.0}
+NEVER_ABOVE = ("negated", "reported")
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, rows: int = 40, strength: float = 0.05) -> np.ndarray:
-    """Logistic regression by Newton steps, drawn towards ``_prior`` where the data say little."""
-    prior = _prior()
+def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 60, strength: float = 0.05) -> np.ndarray:
+    """Logistic regression by Newton steps within the bounds, drawn towards ``PRIOR`` where the data say little.
+
+    A weight at its bound stays there while the slope pushes it outwards; the others take the step.
+    """
+    prior = np.array([*(PRIOR[f] for f in FEATURES), -2.5])
+    low = np.array([*(-np.inf if f in NEVER_ABOVE else 0.0 for f in FEATURES), -np.inf])
+    high = np.array([*(0.0 if f in NEVER_ABOVE else np.inf for f in FEATURES), np.inf])
     w = prior.copy()
     x = np.hstack([x, np.ones((len(x), 1))])
-    for _ in range(rows if len(x) else 0):
+    for _ in range(rounds if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) + strength * (w - prior)
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + strength * np.eye(len(w)), grad)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        free = np.flatnonzero(~((w <= low) & (grad > 0) | (w >= high) & (grad < 0)))
+        part = x[:, free]
+        step = np.linalg.solve((part.T * (p * (1 - p))) @ part + strength * np.eye(len(free)), grad[free])
+        before = w.copy()
+        w[free] -= np.clip(step, -2, 2)
+        w = np.clip(w, low, high)
+        if np.abs(w - before).max() < 1e-7:
             break
     return w
 
@@ -284,7 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return Model(cues, tuple(fit_weights(x, np.array([r["toxic"] for r in rows], float))))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _reader(cues: tuple[tuple[str, str], ...]) -> Reader:
     return Reader(dict(cues))
 
@@ -292,9 +342,9 @@ def _reader(cues: tuple[tuple[str, str], ...]) -> Reader:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (text, any more) with ``score``, 0 to 1, from the whole text alone.
 
-    Null and empty texts get the score of a text without attacks; repeated rows
-    the same score each; a column named ``score`` gives way; an empty table
-    gives no rows.
+    Null and empty texts get the score of a text without attacks; texts of any
+    length are read whole; repeated rows get the same score each; a column named
+    ``score`` gives way, any other stays; an empty table gives no rows.
     """
     session(docs)
     docs = docs.drop("score")
@@ -302,22 +352,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(cues)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            scores = pa.array([weights.score(reader.readings(t)) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
+        try:
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                scores = pa.array([weights.score(reader.readings(t)) for t in texts], pa.float64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
+        finally:
+            reader.forget()
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     return docs.mapInArrow(run, f"{fields}, score double")
 
 
-def clauses(text: str, model: Model) -> list[tuple[str, list[str]]]:
-    """Each clause of a text with its readings; for looking at single texts."""
-    reader = Reader(model.cues)
-    parts = [p for p in re.split(r"(?<=[.!?;:])\s+|\n", text) if p.strip()]
-    return [(p, sorted(r for r in reader.readings(p) if r in _ATTACKS)) for p in parts]
+def named(reading: tuple[str, frozenset]) -> str:
+    """A reading as text: its marks in order, then its kind."""
+    return " ".join([*(m for m in MARKS if m in reading[1]), reading[0]])
 
 
 def readings_of(text: str, model: Model | None = None) -> dict[str, int]:
+    """The readings of a text's clauses and how many clauses have each; for looking at single texts."""
     found = Reader((model or Model()).cues).readings(text)
-    return defaultdict(int, {r: n for r, n in found.items() if r in _ATTACKS})
+    return {named(r): n for r, n in found.items() if r != "clauses"}
