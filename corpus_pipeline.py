@@ -12,11 +12,11 @@ documents.  All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yearloom.llm import minhash, mixing, packing, secrets, toxicity
-from yearloom.llm.common import table
+from yearloom.llm.common import table, unused
 from yearloom.scale.written import materialise
 
 #: SQL has no tokenizer, trained model or HyperMinHash, so the stages are tested against brute force instead.
@@ -30,34 +30,40 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, that with the least doc_id, whatever ids other groups have; texts without words stay."""
-    found = materialise(minhash.near_duplicates(docs), "stage-groups")
-    # The kept rows of one group share their doc_id.
-    worded = found.filter("kept and n_shingles > 0").groupBy("component").agg(F.first("doc_id").alias("doc_id"), F.min("h").alias("h"))
-    worded = worded.select("doc_id", "h", F.lit(True).alias("once"))
-    empty = found.filter("n_shingles = 0").select("doc_id", "h", F.lit(False).alias("once")).distinct()
-    keys = worded.unionByName(empty)
-    key = [F.coalesce("doc_id", F.lit(0)).alias("_k"), F.col("doc_id").isNull().alias("_z")]
-    rows = docs.select("*", *key, F.xxhash64("text").alias("_h"))
-    kept = rows.join(keys.select(*key, F.col("h").alias("_h"), "once"), ["_k", "_z", "_h"])
-    number = F.row_number().over(Window.partitionBy("_k", "_z", "_h").orderBy("_h"))
-    return kept.withColumn("_n", number).filter("not once or _n = 1").select(*docs.columns)
+    """Keeps one document of each group, that with the least doc_id, whatever ids other groups have.
+
+    Texts without words and null texts stay as they are; of rows alike in doc_id and text one stays.
+    """
+    return minhash.one_per_component(docs, materialise(minhash.near_duplicates(docs), "stage-groups"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by a mark; n_chars follows the text."""
+    """Replaces every secret by a mark; n_chars follows the text.
+
+    Whole texts are searched, however long; every row stays, repeated rows and
+    null texts too, with its other columns.
+    """
     clean = secrets.redact(secrets.find_secrets(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Documents without words, null texts too, add nothing to a mix and go; of
+    rows alike in doc_id and text as many are taken as the mix asks for.
+    """
     mixed = mixing.mix(docs)
-    return mixed.filter("passes > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "passes"))).select(*docs.columns)
+    copies = F.explode(F.sequence(F.lit(1), "passes"))
+    return mixed.filter("passes > 0").select(*docs.columns, copies.alias(unused(mixed, "copy")[0])).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all sequences."""
+    """The pieces of all sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Whole texts are packed, in pieces if they are long; null texts are empty,
+    repeated rows are packed as often as they come.
+    """
     return packing.pack(docs)
 
 
@@ -71,7 +77,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the last one's rows."""
+    """All stages over ``documents``; the last one's rows.  An empty table gives none."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
