@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -91,17 +92,33 @@ def test_signs_go_by_the_own_label(spark):
         rows = small + [(10_000 + k, v, label) for k, v in enumerate(other)]
         got = {r.vec_id: r.n_links for r in vectors.similar_vectors(table(spark, rows), block_rows=128).collect()}
         assert all(got[i] == 1 for i in range(120))
-        prepared = vectors._prepare(table(spark, rows), vectors._label_sizes(table(spark, rows), 128), 0.93, 128, 7)
+        nodes = vectors._units(table(spark, rows)).selectExpr("vec_id as node", "1L as copies", "label", "size", "unit")
+        prepared = vectors._projected(nodes, vectors._label_sizes(nodes, 128), 0.93, 128, 7)
         shapes = {r.label: r.n for r in prepared.selectExpr("label", "size(buckets) as n").distinct().collect()}
         assert shapes[1] == 1 and shapes.get(0, 2) > 1
 
 
-def test_steps_lose_no_collision():
-    lines = np.random.default_rng(2).standard_normal((2, 100_000)) * 2
-    for half in (0.05, 0.748, 2.5):
-        near = np.abs(lines[0] - lines[1]) <= half
-        steps = np.abs(vectors._steps(lines[0]) - vectors._steps(lines[1]))
-        assert (steps[near] <= int(half * vectors.STEPS + 1)).all()
+def test_windows_lose_no_collision():
+    places = np.random.default_rng(2).standard_normal((700, 24)).astype(np.float32)
+    for half in (0.05, 0.748, 9.0):
+        window = np.float32(half)
+        got = np.array(list(vectors.Lines(places[:500], window).collisions(places[500:])))
+        low, high = (places[500:, None, :] - window), (places[500:, None, :] + window)
+        assert (got == ((places[None, :500, :] >= low) & (places[None, :500, :] <= high)).sum(axis=2)).all()
+
+
+def test_a_third_alike_stays_linear(spark):
+    """A third of 20,000 rows of one label are one vector; the others are far apart."""
+    rng = np.random.default_rng(4)
+    common = rng.standard_normal(16)
+    rows = [(i, common if i % 3 == 0 else rng.standard_normal(16), 0) for i in range(20_000)]
+    rows += [(20_001, 2 * common, 0), (20_002, common, 1)]  # the same direction; another label
+    started = time.time()
+    got = {r.vec_id: r for r in vectors.similar_vectors(table(spark, rows), cosine=0.999).collect()}
+    assert time.time() - started < 60
+    alike = [got[i] for i in range(0, 20_000, 3)] + [got[20_001]]
+    assert {(r.n_links, r.component_id) for r in alike} == {(6667, 0)}
+    assert sum(r.n_links for r in got.values()) == 6668 * 6667 and got[20_002].n_links == 0
 
 
 def test_repeated_and_null_ids(spark):
