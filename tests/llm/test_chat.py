@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from yearloom.llm import chat
 
@@ -55,3 +56,17 @@ def test_no_rows_and_no_python(spark, capsys):
     assert empty.count() == 0
     empty.explain()
     assert "Python" not in (plan := capsys.readouterr().out) and "Arrow" not in plan
+
+
+def test_time_follows_the_length(spark):
+    """One conversation of 2,000 and one of 16,000 turns, alternating and all of one role."""
+    took = []
+    for n in (2_000, 16_000, 16_000):
+        for one_role in (False, True):
+            rows = spark.range(n).selectExpr("1L as conv_id", "id as turn", f"if({one_role} or id % 2 = 0, 'assistant', 'user') as role", "concat('t<', id) as text")
+            started = time.time()
+            r = chat.digest(chat.format_chats(rows)).first()
+            took.append(time.time() - started)
+            loss = "".join(f"t<{i}" for i in range(n) if one_role or i % 2 == 0)
+            assert (r.n_turns, r.loss_sha256) == (n, hashlib.sha256(loss.encode()).hexdigest())
+    assert max(took[4:]) < 5  # eight times the turns took 30 seconds where each turn copied what came before

@@ -1,8 +1,9 @@
 """Chat formatting with Spark expressions only.
 
-A conversation's rows are collected as structs and sorted by turn, adjacent
-turns of one role are merged by an array aggregation, and the blocks are
-concatenated to one text::
+A conversation's rows are collected as structs and sorted by turn; adjacent
+turns of one role are merged, as slices of the array that are joined to one
+string each; and the blocks are concatenated to one text, all in time with the
+conversation's length::
 
     <|turn:role|>first turn<|+|>second turn of the same role<|end|>\\n
 
@@ -20,8 +21,6 @@ from pyspark.sql import functions as F
 OPEN, SHUT, MORE, END = "<|turn:", "|>", "<|+|>", "<|end|>\n"
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("|", "\\p"))
 
-_TURN = "struct<role: string, text: string>"
-
 
 def escape(text: Column) -> Column:
     for plain, code in ESCAPES:
@@ -35,30 +34,6 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def _blocks(turns: Column) -> Column:
-    """Turns as blocks of one role: an array of (role, texts), merged over neighbours of the same role.
-
-    A block is complete when the role changes, so each turn's text joins the
-    pieces of the open block once; ``done`` takes finished blocks.
-    """
-    none = F.array().cast("array<struct<role: string, texts: array<string>>>")
-    begin = F.struct(none.alias("done"), F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("texts"))
-
-    def ended(state: Column) -> Column:
-        block = F.struct(state["role"].alias("role"), state["texts"].alias("texts"))
-        return F.when(state["role"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(block)))
-
-    def step(state: Column, turn: Column) -> Column:
-        same = state["role"] == turn["role"]
-        return F.struct(
-            F.when(same, state["done"]).otherwise(ended(state)).alias("done"),
-            turn["role"].alias("role"),
-            F.when(same, F.concat(state["texts"], F.array(turn["text"]))).otherwise(F.array(turn["text"])).alias("texts"),
-        )
-
-    return F.aggregate(turns, begin, step, ended)
-
-
 def format_chats(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
     """One row per conversation: ``key`` and ``formatted``.
 
@@ -69,20 +44,30 @@ def format_chats(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = conversations.groupBy(key).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    plain = F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
-    body = F.transform(
-        _blocks(plain),
-        lambda b: F.concat(F.lit(OPEN), b["role"], F.lit(SHUT), F.array_join(b["texts"], MORE), F.lit(END)),
-    )
-    return turns.select(key, F.array_join(body, "").alias("formatted"))
+    role = lambda i: F.get("turns", i)["role"]
+    # A block starts where the role is not that of the turn before, and is the slice up to the next start.
+    starts = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (role(i) != role(i - 1)))
+    stops = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("turns")))
+    blocks = turns.select(key, "turns", starts.alias("starts"))
+    blocks = blocks.select(key, "turns", F.arrays_zip(F.col("starts").alias("start"), stops.alias("stop")).alias("blocks"))
+
+    def block(b: Column) -> Column:
+        texts = F.transform(F.slice("turns", b["start"] + 1, b["stop"] - b["start"]), lambda t: escape(t["text"]))
+        return F.concat(F.lit(OPEN), escape(role(b["start"])), F.lit(SHUT), F.array_join(texts, MORE), F.lit(END))
+
+    return blocks.select(key, F.array_join(F.transform("blocks", block), "").alias("formatted"))
+
+
+def _split(formatted: str | Column) -> Column:
+    """The blocks of a formatted text, without their END."""
+    # The text ends with END, so the last piece after splitting is empty.
+    pieces = F.split(formatted, "\\Q" + END + "\\E", -1)
+    return F.slice(pieces, 1, F.size(pieces) - 1)
 
 
 def read_turns(formatted: str | Column = "formatted") -> Column:
     """The turns of a formatted text: array of (role, text), by its marks alone."""
     formatted = F.col(formatted) if isinstance(formatted, str) else formatted
-    # The text ends with END, so the last piece after splitting is empty.
-    pieces = F.split(formatted, "\\Q" + END + "\\E", -1)
-    blocks = F.slice(pieces, 1, F.size(pieces) - 1)
 
     def turns(block: Column) -> Column:
         role = F.substring_index(F.substr(block, F.lit(len(OPEN) + 1)), SHUT, 1)
@@ -92,12 +77,25 @@ def read_turns(formatted: str | Column = "formatted") -> Column:
             lambda t: F.struct(unescape(role).alias("role"), unescape(t).alias("text")),
         )
 
-    return F.flatten(F.transform(blocks, turns))
+    return F.flatten(F.transform(_split(formatted), turns))
+
+
+def loss_mask(formatted: str | Column = "formatted", role: str = "assistant") -> Column:
+    """The loss mask by blocks: array of (block, start), for each block of ``role`` its text and where the loss begins in it.
+
+    Loss falls on all that follows the block's head but the marks between
+    merged turns; positions count from the block, so cutting takes time in
+    proportion to the text.
+    """
+    head = F.concat(F.lit(OPEN), escape(F.lit(role)), F.lit(SHUT))
+    own = F.filter(_split(F.col(formatted) if isinstance(formatted, str) else formatted), lambda b: F.startswith(b, head))
+    return F.transform(own, lambda b: F.struct(b.alias("block"), F.length(head).alias("start")))
 
 
-def loss_text(turns: Column, role: str = "assistant") -> Column:
-    """All text under the loss mask, unescaped, in order, nothing between."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == role), lambda t: t["text"]), "")
+def loss_text(mask: str | Column) -> Column:
+    """All text under a loss mask, unescaped, in order, nothing between."""
+    under = F.transform(mask, lambda m: F.replace(F.substr(m["block"], m["start"] + 1), F.lit(MORE), F.lit("")))
+    return unescape(F.array_join(under, ""))
 
 
 def loss_spans(formatted: str | Column = "formatted", role: str = "assistant") -> Column:
@@ -125,8 +123,7 @@ def loss_spans(formatted: str | Column = "formatted", role: str = "assistant") -
 
 def digest(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
     """What is read back from the formatted texts: counts and digests per conversation."""
-    read = formatted.select(key, "formatted", read_turns().alias("turns"))
-    read = read.withColumn("loss", loss_text(F.col("turns")))
+    read = formatted.select(key, "formatted", read_turns().alias("turns"), loss_text(loss_mask()).alias("loss"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         key,
