@@ -133,3 +133,16 @@ def test_packing_is_whole_and_tight(spark, docs, library, gibberish):
             at += length
         assert at <= 128
     assert len(bins) <= 1.1 * sum(r.length for r in got) / 128 + 2
+
+
+def test_equal_pieces_are_dealt_over_all_parts(spark, docs):
+    """A third of all rows alike, and a very long text."""
+    rows = [(7, "the same words again", "a") if i % 3 == 0 else (i, f"some other words {i}", "a") for i in range(3000)]
+    got = packing.pack(docs([*rows, (9000, "long " * 30_000, "a")]), capacity=256, part_sequences=5).collect()
+    assert sum(r.doc_id == 7 for r in got) == 1001  # row 7 itself has another text
+    parts = {r.sequence_id >> 40: 0 for r in got}
+    for r in got:
+        parts[r.sequence_id >> 40] += r.doc_id == 7
+    assert len(parts) > 5 and max(parts.values()) < 2 * 1001 / len(parts) + 50
+    long = sorted((r.piece, r.start, r.length) for r in got if r.doc_id == 9000)
+    assert [s for _, s, _ in long] == list(range(0, sum(n for *_, n in long), 256)) and {n for *_, n in long[:-1]} == {256}

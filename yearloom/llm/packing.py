@@ -101,8 +101,9 @@ def pack(
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null texts are empty and still have their end id.  Repeated rows and null
-    doc_ids are packed as often as they come; other columns are ignored; an
-    empty table gives no rows.  Parts follow the number of tokens, so each makes
+    doc_ids are packed as often as they come; texts longer than a sequence are
+    cut, however long; which of equal pieces lies where has no meaning; other
+    columns are ignored; an empty table gives no rows.  Parts follow the number of tokens, so each makes
     about ``part_sequences`` sequences whatever the input.
     """
     written = materialise(pieces(docs, tokenizer, end_id, capacity), "pieces")
@@ -119,6 +120,7 @@ def pack(
                 [*batch.columns, pa.array(where[:, 0] + base), pa.array(where[:, 1])], schema=schema
             )
 
-    order = F.xxhash64("doc_id", "piece", "ids_crc32")
+    # A row's place in the written table is part of the hash, so that equal pieces are dealt over all parts.
+    order = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
     dealt = written.withColumn("h", order).repartition(parts, "h").sortWithinPartitions("h", "doc_id", "piece").drop("h")
     return dealt.mapInArrow(fill, f"{PIECES}, sequence_id long, offset long")
