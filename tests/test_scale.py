@@ -1,5 +1,8 @@
 """The plans for huge groups must give what the plans for small groups give."""
 
+import os
+import shutil
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +135,20 @@ def test_lookup_keeps_rows_and_order_with_and_without_broadcast(spark):
 def test_mode_ties_go_to_the_lowest(spark):
     df = spark.createDataFrame([("b", None), ("a", None), ("b", "x"), ("a", "y"), (None, "y")], "c string, d string")
     assert modes(df, ["c", "d"]) == {"c": "a", "d": "y"}
+
+
+def test_input_state_needs_no_job_and_sees_changes(spark, sf, tmp_path):
+    from yearloom.plans.derived_panel import _INPUTS, state
+
+    for name in _INPUTS:
+        shutil.copy(f"{sf}/{name}.parquet", tmp_path)
+    context = spark.sparkContext
+    context.setJobGroup("state", "state")
+    try:
+        first, again = state(spark, str(tmp_path)), state(spark, str(tmp_path))
+        os.utime(tmp_path / "part.parquet", (1, 1))
+        changed = state(spark, str(tmp_path))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert not context.statusTracker().getJobIdsForGroup("state")
+    assert first == again != changed and all(f"{n}.parquet" in files for n, files in zip(_INPUTS, first[2]))

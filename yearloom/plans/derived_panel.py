@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,12 +82,18 @@ def derive_panel(spark: SparkSession, sf_dir: str, limits: Limits = DEFAULT_LIMI
 
 
 def state(spark: SparkSession, sf_dir: str) -> tuple:
-    """The application and the input files with their sizes and times: what is kept by it is never stale."""
-    files = set()
+    """The application and the input files with their sizes and times, from one listing a table and no Spark job.
+
+    Of a table in a folder, that is each file and folder directly below it.
+    What is kept by this is never stale.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = []
     for name in _INPUTS:
-        meta = table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
-        files |= {tuple(r) for r in meta.distinct().collect()}
-    return spark.sparkContext.applicationId, sf_dir, frozenset(files)
+        place = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        listed = jvm.org.apache.commons.lang3.ArrayUtils.toString(place.getFileSystem(conf).listStatus(place))
+        files.append(re.sub(r"; access_time=-?\d+", "", listed))
+    return spark.sparkContext.applicationId, sf_dir, tuple(files)
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
