@@ -1,25 +1,23 @@
-"""Explain a fitted model: sampled Shapley values, importances, permutation importance."""
+"""Explain a fitted model: exact Shapley values over tree paths, importances, permutation importance."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..roles import DEFAULT_LIMITS, Limits
 from ..scale import indexed, materialise, sample_rows
-from .models import metrics
+from .ensembles import path_table, some_trees, trees_by_feature, trees_of
 
 # Explained rows, background rows, and features shown.
 SAMPLE_ROWS = 300
 BACKGROUND_ROWS = 100
 TOP_FEATURES = 10
-# Rows of a sample up to which it is sent to every task instead of shuffled.
-SMALL_ROWS = 1000
 
 
 def explain_sample(
@@ -43,63 +41,64 @@ def explain_sample(
     return numbered, first.select(F.col("row_id").alias("background_id"), F.col("x").alias("z"))
 
 
-def shapley_values(
-    model,
-    rows: DataFrame,
-    background: DataFrame,
-    names: Sequence[str],
-    permutations: int = 4,
-    seed: int = 42,
-) -> DataFrame:
-    """Sampled Shapley values as (row_id, feature_index, feature, value, phi).
-
-    Each row walks through random feature orders; at every step one more
-    feature changes from the background value to the row's own.  The change of
-    the mean score over the background is that feature's share.  The sum over
-    features is the row's score minus the mean background score.  Both inputs
-    are samples of a fixed size, so the work does not depend on the panel; it
-    is spread over all cores by (row, order).  Larger samples are joined by
-    shuffle and cost rows x orders x features x background scores.
+def _reached(x: Column) -> Column:
+    """Which of a path's bounds the values ``x`` meet, as bits."""
+    bits = F.array(*[F.lit(1 << i) for i in range(31)])
+    above = lambda f, i: (F.get("lows", i) == -math.inf) | (F.get(x, f) > F.get("lows", i))
+    met = F.transform("features", lambda f, i: F.when(above(f, i) & (F.get(x, f) <= F.get("highs", i)), F.get(bits, i)).otherwise(0))
+    return F.aggregate(met, F.lit(0), lambda a, b: a + b)
+
+
+def shapley_values(model, rows: DataFrame, background: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Exact Shapley values as (row_id, feature_index, feature, value, phi), over the paths of the model's trees.
+
+    The game of a row x and a background row z gives a set S of features the
+    score of z with x's values in S; a row's values are the mean over all
+    background rows.  On one root-to-leaf path a feature is met by both rows, by
+    x only (there are u of those), by z only (v), or by neither.  With any of
+    the last kind no S ends in the leaf; else just those do that hold all of u
+    and none of v, and the leaf's value times (u-1)! v! / (u+v)! goes to each of
+    u, and less its value times u! (v-1)! / (u+v)! to each of v.  So only the
+    bits of what x and z meet count: background rows are counted by path and
+    bits, and rows meet those counts by equal path.
+
+    The values of a row add up to its score less the mean background score.
+    Work follows rows x paths; the background (x, z of ``explain_sample``) has a
+    fixed number of rows and the paths that of the model.  A null value meets no
+    bound.  An empty table of rows or background gives no rows.
     """
     spark = rows.sparkSession
-    count = len(names)
     size = background.count()
-    small = lambda df, n: F.broadcast(df) if n <= SMALL_ROWS else df
-    drawn = F.transform(
-        F.sequence(F.lit(0), F.lit(count - 1)),
-        lambda j: F.struct(F.xxhash64(F.lit(seed), "row_id", "walk", j).alias("h"), j.alias("j")),
+    paths = materialise(path_table(spark, model), "paths")
+    several = max(2, spark.sparkContext.defaultParallelism)
+    # At most 2^depth paths for each round, whatever the data: every task gets all of them.
+    every_path = F.broadcast(paths.filter(F.size("features") > 0))
+
+    def on_paths(points: DataFrame, key: str, values: str) -> DataFrame:
+        return points.select(key, values).repartition(several, key).join(every_path, F.size(values) > 0)
+
+    counted = on_paths(background, "background_id", "z").select("path", F.size("features").alias("k"), _reached(F.col("z")).alias("by_z"))
+    counted = materialise(counted.groupBy("path", "k", "by_z").agg(F.count("*").alias("n")), "background-bits")
+    met = materialise(on_paths(rows, "row_id", "x").select("row_id", "path", _reached(F.col("x")).alias("by_x")), "row-bits")
+    bits = met.select("path", "by_x").distinct().join(counted, "path")
+    every = F.expr("shiftleft(1, k) - 1")
+    bits = bits.filter((F.col("by_x").bitwiseOR(F.col("by_z")) == every) & (F.col("by_x") != F.col("by_z")))
+    only_x, only_z = F.col("by_x").bitwiseAND(F.bitwise_not(F.col("by_z"))), F.col("by_z").bitwiseAND(F.bitwise_not(F.col("by_x")))
+    bits = bits.select("path", "by_x", "k", "n", only_x.alias("ux"), only_z.alias("vz"), F.bit_count(only_x).alias("u"), F.bit_count(only_z).alias("v"))
+    share = lambda mine, other: F.try_divide(F.factorial(F.greatest(mine - 1, F.lit(0))) * F.factorial(other) * F.col("n"), F.factorial(mine + other))
+    place = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    bits = bits.select("*", share(F.col("u"), F.col("v")).alias("gain"), share(F.col("v"), F.col("u")).alias("loss"), place.alias("place"))
+    bit = F.expr("shiftleft(1, place)")
+    part = F.when(F.col("ux").bitwiseAND(bit) != 0, F.col("gain")).when(F.col("vz").bitwiseAND(bit) != 0, -F.col("loss"))
+    parts = bits.groupBy("path", "by_x", "place").agg(F.sum(part).alias("part")).filter("part is not null")
+    valued = parts.join(paths.select("path", "value", "features"), "path").select(
+        "path", "by_x", F.get("features", F.col("place")).alias("feature_index"), (F.col("part") * F.col("value") / F.lit(float(max(1, size)))).alias("share")
     )
-    order = F.transform(F.array_sort(drawn), lambda s: s["j"])
-    walks = rows.select("row_id", "x", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("walk"))
-    walks = walks.repartition(max(2, spark.sparkContext.defaultParallelism), "row_id", "walk")
-    walks = walks.withColumn("order", order)
-    place = F.transform(
-        F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.array_position("order", j).cast("int")
-    )
-    steps = walks.select(
-        "row_id", "walk", "x", place.alias("place"),
-        F.explode(F.sequence(F.lit(0), F.lit(count))).alias("step"),
-    )
-    cases = steps.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("background_id")
-    ).join(small(background, size), "background_id")
-    mixed = F.transform(
-        F.sequence(F.lit(0), F.lit(count - 1)),
-        lambda j: F.when(F.get("place", j) <= F.col("step"), F.get("x", j)).otherwise(F.get("z", j)),
-    )
-    scored = model.transform(cases.select("row_id", "walk", "step", array_to_vector(mixed).alias("features")))
-    path = scored.groupBy("row_id", "walk", "step").agg(F.avg("prediction").alias("score"))
-    change = F.col("score") - F.lag("score").over(W.partitionBy("row_id", "walk").orderBy("step"))
-    shares = path.withColumn("change", change).filter("step > 0")
-    shares = shares.withColumn("feature_index", F.element_at(order, F.col("step")))
-    phi = shares.groupBy("row_id", "feature_index").agg(F.avg("change").alias("phi"))
+    shares = met.join(materialise(valued, "path-shares"), ["path", "by_x"]).groupBy("row_id", "feature_index").agg(F.sum("share").alias("phi"))
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("feature_index") + 1)
-    return phi.join(small(rows, rows.count()), "row_id").select(
-        "row_id",
-        "feature_index",
-        label.alias("feature"),
-        F.get("x", F.col("feature_index")).alias("value"),
-        "phi",
+    each = rows.filter(F.lit(size > 0)).select("row_id", F.posexplode("x").alias("feature_index", "value"))
+    return each.join(shares, ["row_id", "feature_index"], "left").select(
+        "row_id", "feature_index", label.alias("feature"), "value", F.coalesce("phi", F.lit(0.0)).alias("phi")
     )
 
 
@@ -140,46 +139,53 @@ def permutation_importance(
 
     Rows are numbered once in hash order.  Feature f takes its value from row
     (a_f * i + b_f) mod n, with a_f prime to n: a permutation that needs one
-    equi-join on the row number and no sort per feature.  Only the shuffled
-    value travels through the join.
+    equi-join on the row number and no sort per feature.
+
+    Only trees that split on a feature can change when it moves.  Each row's
+    score by every tree is stored once; for a feature, the index of its trees
+    gives the ensemble that scores the moved rows, and only rows whose value
+    really changes.  A feature without trees costs nothing and rises by 0.
     """
     spark = test.sparkSession
     hashed = F.xxhash64(F.lit(seed), *[F.col(c) for c in identity])
-    base = materialise(
-        indexed(
-            materialise(test.withColumn("__h", hashed), "importance-input"), ["__h", *identity], "i", limits
-        ).select("i", "label", vector_to_array("features").alias("x")),
-        "importance-rows",
+    numbered = indexed(materialise(test.withColumn("__h", hashed), "importance-input"), ["__h", *identity], "i", limits)
+    trees = trees_of(model)
+    users = trees_by_feature(trees)
+    # The leaf that each tree ends in, and with it what the tree adds to the score.
+    values = spark.createDataFrame([([[weight * leaf.value for leaf in leaves] for weight, leaves in trees],)], "leaf_values array<array<double>>")
+    leaves = some_trees(model, range(len(trees))).setLeafCol("leaves").transform(numbered.select("i", "label", "features"))
+    by_tree = F.transform(vector_to_array("leaves"), lambda leaf, t: F.get(F.get("leaf_values", t), leaf.cast("int")))
+    base = leaves.join(F.broadcast(values), F.size("leaf_values") > 0).select(
+        "i", "label", vector_to_array("features").alias("x"), by_tree.alias("by_tree"), F.col("prediction").alias("score")
     )
+    base = materialise(base, "importance-rows")
     n = base.count()
-    moves = []
-    for f in range(len(names)):
-        step = (1_000_003 * (f + 1) + seed) % n or 1
+    error = F.col("label") - F.col("score")
+    plain = base.agg(F.sum(error * error).alias("s")).first()["s"]
+
+    parts = []
+    for f, used in sorted(users.items()):
+        step = (1_000_003 * (f + 1) + seed) % n or 1 if n else 1
         while math.gcd(step, n) != 1:
             step = step % n + 1
-        moves.append((step, (7_919 * (f + 1)) % n))
-    # One lookup per row and feature: which row is to receive this row's value.
-    inverse = [(pow(a, -1, n) if n > 1 else 0, b) for a, b in moves]
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("f"),
-                F.pmod(
-                    F.lit(a).cast("decimal(19,0)") * (F.col("i") - F.lit(b)).cast("decimal(19,0)"),
-                    F.lit(n).cast("decimal(38,0)"),
-                ).cast("long").alias("i"),
-                F.get("x", F.lit(f)).alias("moved"),
-            )
-            for f, (a, b) in enumerate(inverse)
-        ]
-    )
-    moved = base.select(F.inline(entries))
-    joined = base.join(moved, "i")
-    swapped = F.transform("x", lambda v, j: F.when(j == F.col("f"), F.col("moved")).otherwise(v))
-    shuffled = model.transform(joined.select("f", "label", array_to_vector(swapped).alias("features")))
-    plain = model.transform(base.select("label", array_to_vector("x").alias("features")))
-    rmse = metrics(plain, "label", "prediction").first()["rmse"]
-    label = F.element_at(F.array(*[F.lit(s) for s in names]), F.col("f") + 1)
-    return metrics(shuffled, "label", "prediction", by=["f"]).select(
-        F.col("f").alias("feature_index"), label.alias("feature"), (F.col("rmse") - F.lit(rmse)).alias("rmse_increase")
-    )
+        inverse, shift = (pow(step, -1, n) if n > 1 else 0), (7_919 * (f + 1)) % max(1, n)
+        # Which row is to receive this row's value.
+        to = F.pmod(F.lit(inverse).cast("decimal(19,0)") * (F.col("i") - F.lit(shift)).cast("decimal(19,0)"), F.lit(n).cast("decimal(38,0)"))
+        moved = base.select(to.cast("long").alias("i"), F.get("x", F.lit(f)).alias("moved"))
+        changed = base.join(moved, "i").filter(~F.get("x", F.lit(f)).eqNullSafe(F.col("moved")))
+        x = F.concat(F.slice("x", 1, f), F.array("moved"), F.slice("x", f + 2, max(0, len(names) - f - 1)))
+        # Slicing off what other trees add keeps the sum short: the index lists the trees of this feature.
+        own = F.aggregate(F.transform(F.array(*[F.lit(t) for t in used]), lambda t: F.get("by_tree", t)), F.lit(0.0), lambda a, b: a + b)
+        rows = changed.select("label", "score", own.alias("own"), array_to_vector(x).alias("features"))
+        scored = some_trees(model, used).transform(rows)
+        now = F.col("label") - (F.col("score") - F.col("own") + F.col("prediction"))
+        rise = F.sum(now * now - error * error)
+        parts.append(scored.agg(F.lit(f).alias("f"), F.coalesce(rise, F.lit(0.0)).alias("rise")))
+    table = spark.createDataFrame([(f, names[f]) for f in range(len(names))], "feature_index int, feature string")
+    if not n:
+        return table.select("feature_index", "feature", F.lit(None).cast("double").alias("rmse_increase"))
+    rises = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "f int, rise double")
+    squares = F.lit(float(plain)) + F.coalesce("rise", F.lit(0.0))
+    increase = F.sqrt(F.greatest(squares, F.lit(0.0)) / F.lit(n)) - F.lit(math.sqrt(plain / n))
+    joined = table.join(rises, F.col("feature_index") == F.col("f"), "left")
+    return joined.select("feature_index", "feature", F.when(F.col("f").isNull(), F.lit(0.0)).otherwise(increase).alias("rmse_increase"))

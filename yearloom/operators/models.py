@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decimals
 from ..scale import checkpoint_root, sample_mark
+from .ensembles import rounds_kept, some_trees
 
 
 @dataclass(frozen=True)
@@ -26,6 +27,8 @@ class BoostSettings:
     seed: int = 42
     hold_out: float = 0.1  # share of the training rows that decides when to stop early
     stop_above: int = 10_000  # training rows above which it does, as the published learner's default
+    patience: int = 10  # rounds without gain on those rows after which no more are kept, likewise
+    tolerance: float = 1e-7  # what counts as gain
 
 
 DEFAULT_BOOST = BoostSettings()
@@ -37,8 +40,10 @@ def fit_boosted(
     """Fit on (label, features).
 
     Above ``stop_above`` rows a share ``hold_out``, marked by a hash of
-    ``identity``, is kept from the trees, and rounds end when the error on it
-    falls by less than Spark's tolerance of 1 % of itself.
+    ``identity``, is kept from the trees.  All rounds are fitted; one pass over
+    the rows held out scores them by every tree once and adds up over the
+    rounds; and the rounds before ``patience`` of them bring no gain are kept,
+    as a learner that stops there would have them.
     """
     checkpoint_root(train.sparkSession)  # boosting cuts its own lineage there
     learner = GBTRegressor(
@@ -53,10 +58,13 @@ def fit_boosted(
         checkpointInterval=10,
         maxMemoryInMB=1024,
     )
-    if settings.hold_out > 0 and train.count() > settings.stop_above:
-        train = train.withColumn("held_out", sample_mark(identity, settings.hold_out, settings.seed))
-        learner = learner.setValidationIndicatorCol("held_out")
-    return learner.fit(train)
+    if settings.hold_out <= 0 or train.count() <= settings.stop_above:
+        return learner.fit(train)
+    held_out = sample_mark(identity, settings.hold_out, settings.seed)
+    model = learner.fit(train.filter(~held_out))
+    errors = model.evaluateEachIteration(train.filter(held_out), "squared")
+    rounds = rounds_kept(errors, settings.patience, settings.tolerance)
+    return some_trees(model, range(rounds)) if rounds < model.getNumTrees else model
 
 
 def predict(model: GBTRegressionModel, df: DataFrame, model_name: str) -> DataFrame:
