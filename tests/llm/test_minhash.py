@@ -3,11 +3,13 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm_helpers import shingles, words_of
 from yearloom.llm import minhash
 from yearloom.llm.components import components
 from yearloom.llm.shingles import shingle_sets, word_hashes
+from yearloom.scale.written import materialise
 
 
 def edited(text, share, seed):
@@ -121,3 +123,18 @@ def test_star_rounds_on_chains_and_stars(spark):
     want = {i: 0 for i in range(41)} | {i: 100 for i in [100, *range(200, 252)]} | {299: 299, 300: 299}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_per_component_keeps_columns_and_spreads(docs, gibberish):
+    """A third of all rows alike, several texts under a null id, copies under other ids, texts without words."""
+    rows = [(7, gibberish(0, 12)) if i % 3 == 0 else (i, gibberish(i, 12)) for i in range(900)]
+    rows += [(None, gibberish(5000 + i, 12)) for i in range(5)] + [(None, None), (None, ""), (8000, rows[1][1]), (8001, ""), (8001, "")]
+    names = ["once", "_h", "_n", "_k", "_z", "id", "id_null", "hash", "row", "component", "kept"]
+    table = docs(rows).withColumns({n: F.lit(n) for n in names})
+    got = minhash.one_per_component(table, materialise(minhash.near_duplicates(table), "found"))
+    assert got.columns == table.columns
+    kept = got.collect()
+    assert all(r[n] == n for r in kept for n in names)
+    ids = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept)
+    want = {(i is None, i or 0, t or "") for i, t in rows if t and i != 8000}
+    assert ids == sorted([*want, (True, 0, ""), (True, 0, ""), (False, 8001, ""), (False, 8001, "")])

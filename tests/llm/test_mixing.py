@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from yearloom.llm import mixing
 
@@ -88,3 +89,22 @@ def test_one_length_in_one_source(spark, docs):
 def test_no_documents(spark, docs):
     assert mixing.mix(docs([]).filter("false")).count() == 0
     assert mixed(docs, [(1, None, None)])[0].taken == 0
+
+
+def test_any_column_name_may_be_there(docs):
+    """Every name that the operator uses inside, as a column of the input that has to come out as it was."""
+    names = ["whole", "k", "_k", "_s", "_z", "_b", "_h", "bucket", "hash", "source_name", "source_null", "n", "before", "Whole_", "copy"]
+    table = docs([(i, "word " * (1 + i % 5), f"s{i % 3}") for i in range(60)]).withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    got = mixing.mix(table)
+    assert got.columns[-5:] == ["size", "source_size", "target", "passes", "taken"]
+    rows = got.collect()
+    assert len(rows) == 60 and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
+def test_a_third_under_one_id(docs):
+    """Rows of one size under a null doc_id are dealt over the buckets by their texts."""
+    table = docs([(None if i % 3 == 0 else i, f"two w{i}", "a") for i in range(6000)])
+    chance = F.pmod(F.xxhash64(F.lit(42), "doc_id", F.xxhash64("text")), F.lit(mixing.BUCKETS))
+    assert table.filter("doc_id is null").select(chance.alias("b")).groupBy("b").count().agg(F.max("count")).first()[0] < 20
+    again = [sorted((str(r.doc_id), r.text, r.taken) for r in mixing.mix(t).collect()) for t in (table, table.repartition(7))]
+    assert again[0] == again[1] and sum(x[2] for x in again[0]) == 18_000

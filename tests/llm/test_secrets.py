@@ -87,3 +87,12 @@ def test_only_the_rules_trigrams_are_indexed(spark, docs):
     index = secrets.build_index(docs(["token token", "nothing"]))
     assert {r.trigram for r in index.collect()} == {"tok", "oke", "ken"}
     assert index.filter(F.col("key").isNull()).count() == 0
+
+
+def test_any_column_name_may_be_there(docs):
+    names = ["rules", "_key", "rule", "trigram", "low", "count", "Key_"]
+    table = docs(["password=abcdefgh12", None, "none", "x" * 300_000 + " AKIA" + "B" * 16]).withColumns({n: F.lit(n) for n in names})
+    rows = {r.doc_id: r for r in secrets.redact(secrets.find_secrets(table)).collect()}
+    assert all(r[n] == n for r in rows.values() for n in names)
+    assert [s.kind for s in rows[0].spans] == ["assign"] and not rows[1].spans and not rows[2].spans
+    assert [(s.kind, s.start, s.stop) for s in rows[3].spans if s.kind == "access"] == [("access", 300_001, 300_021)]
