@@ -60,11 +60,11 @@ def trees_by_feature(trees: Sequence[tuple[float, list[Leaf]]]) -> dict[int, lis
     return index
 
 
-def some_trees(model: GBTRegressionModel, chosen: Sequence[int]) -> GBTRegressionModel:
-    """The ensemble of the chosen trees, with their weights."""
+def some_trees(model: GBTRegressionModel, chosen: Sequence[int], weights: Sequence[float] | None = None) -> GBTRegressionModel:
+    """The ensemble of the chosen trees, with their weights; ``weights`` spares asking the model for all of them."""
     gateway = SparkSession.active().sparkContext._gateway
     kinds = gateway.jvm.org.apache.spark.ml.regression
-    trees, weights = model._java_obj.trees(), model.treeWeights
+    trees, weights = model._java_obj.trees(), weights or model.treeWeights
     picked = gateway.new_array(kinds.DecisionTreeRegressionModel, len(chosen))
     factors = gateway.new_array(gateway.jvm.double, len(chosen))
     for place, t in enumerate(chosen):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -143,14 +142,14 @@ def permutation_importance(
 
     Only trees that split on a feature can change when it moves.  Each row's
     score by every tree is stored once; for a feature, the index of its trees
-    gives the ensemble that scores the moved rows, and only rows whose value
-    really changes.  A feature without trees costs nothing and rises by 0.
+    gives the ensemble that scores the rows with their moved values.  A feature
+    without trees costs nothing and rises by 0.
     """
     spark = test.sparkSession
     hashed = F.xxhash64(F.lit(seed), *[F.col(c) for c in identity])
     numbered = indexed(materialise(test.withColumn("__h", hashed), "importance-input"), ["__h", *identity], "i", limits)
     trees = trees_of(model)
-    users = trees_by_feature(trees)
+    users, weights = trees_by_feature(trees), [weight for weight, _ in trees]
     # The leaf that each tree ends in, and with it what the tree adds to the score.
     values = spark.createDataFrame([([[weight * leaf.value for leaf in leaves] for weight, leaves in trees],)], "leaf_values array<array<double>>")
     leaves = some_trees(model, range(len(trees))).setLeafCol("leaves").transform(numbered.select("i", "label", "features"))
@@ -163,29 +162,32 @@ def permutation_importance(
     error = F.col("label") - F.col("score")
     plain = base.agg(F.sum(error * error).alias("s")).first()["s"]
 
-    parts = []
-    for f, used in sorted(users.items()):
+    # Row i gives its value of f to the row that the permutation of f leads to: every row receives one of each feature.
+    given = []
+    for f in sorted(users):
         step = (1_000_003 * (f + 1) + seed) % n or 1 if n else 1
         while math.gcd(step, n) != 1:
             step = step % n + 1
         inverse, shift = (pow(step, -1, n) if n > 1 else 0), (7_919 * (f + 1)) % max(1, n)
-        # Which row is to receive this row's value.
-        to = F.pmod(F.lit(inverse).cast("decimal(19,0)") * (F.col("i") - F.lit(shift)).cast("decimal(19,0)"), F.lit(n).cast("decimal(38,0)"))
-        moved = base.select(to.cast("long").alias("i"), F.get("x", F.lit(f)).alias("moved"))
-        changed = base.join(moved, "i").filter(~F.get("x", F.lit(f)).eqNullSafe(F.col("moved")))
-        x = F.concat(F.slice("x", 1, f), F.array("moved"), F.slice("x", f + 2, max(0, len(names) - f - 1)))
-        # Slicing off what other trees add keeps the sum short: the index lists the trees of this feature.
-        own = F.aggregate(F.transform(F.array(*[F.lit(t) for t in used]), lambda t: F.get("by_tree", t)), F.lit(0.0), lambda a, b: a + b)
-        rows = changed.select("label", "score", own.alias("own"), array_to_vector(x).alias("features"))
-        scored = some_trees(model, used).transform(rows)
-        now = F.col("label") - (F.col("score") - F.col("own") + F.col("prediction"))
-        rise = F.sum(now * now - error * error)
-        parts.append(scored.agg(F.lit(f).alias("f"), F.coalesce(rise, F.lit(0.0)).alias("rise")))
+        to = F.pmod(F.lit(inverse).cast("decimal(19,0)") * (F.col("i") - F.lit(shift)).cast("decimal(19,0)"), F.lit(max(1, n)).cast("decimal(38,0)"))
+        given.append(F.struct(to.cast("long").alias("i"), F.lit(f).alias("f"), F.get("x", F.lit(f)).alias("value")))
     table = spark.createDataFrame([(f, names[f]) for f in range(len(names))], "feature_index int, feature string")
-    if not n:
-        return table.select("feature_index", "feature", F.lit(None).cast("double").alias("rmse_increase"))
-    rises = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "f int, rise double")
-    squares = F.lit(float(plain)) + F.coalesce("rise", F.lit(0.0))
-    increase = F.sqrt(F.greatest(squares, F.lit(0.0)) / F.lit(n)) - F.lit(math.sqrt(plain / n))
-    joined = table.join(rises, F.col("feature_index") == F.col("f"), "left")
-    return joined.select("feature_index", "feature", F.when(F.col("f").isNull(), F.lit(0.0)).otherwise(increase).alias("rmse_increase"))
+    if not n or not given:
+        return table.select("feature_index", "feature", F.lit(0.0 if n else None).cast("double").alias("rmse_increase"))
+    received = base.select(F.inline(F.array(*given))).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("moved"))
+    changed = {
+        f"features_{f}": array_to_vector(
+            F.concat(F.slice("x", 1, f), F.array(F.col("moved")[place]["value"]), F.slice("x", f + 2, max(0, len(names) - f - 1)))
+        )
+        for place, f in enumerate(sorted(users))
+    }
+    scored, rises = base.join(received, "i").select("label", "score", "by_tree", *[c.alias(name) for name, c in changed.items()]), []
+    for f, used in sorted(users.items()):
+        scored = some_trees(model, used, weights).setFeaturesCol(f"features_{f}").setPredictionCol(f"now_{f}").transform(scored)
+        before = F.aggregate(F.transform(F.array(*[F.lit(t) for t in used]), lambda t: F.get("by_tree", t)), F.lit(0.0), lambda a, b: a + b)
+        now = error + before - F.col(f"now_{f}")
+        rises.append(F.struct(F.lit(f).alias("f"), F.sum(now * now).alias("s")))
+    squares = scored.agg(F.array(*rises).alias("all")).select(F.inline("all"))
+    joined = table.join(squares, F.col("feature_index") == F.col("f"), "left")
+    increase = F.sqrt(F.col("s") / F.lit(n)) - F.lit(math.sqrt(plain / n))
+    return joined.select("feature_index", "feature", F.coalesce(increase, F.lit(0.0)).alias("rmse_increase"))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import relative_change, zero_if_null
 from ..roles import DEFAULT_LIMITS, Limits
+from ..scale import indexed, materialise
+
+#: Times of one run of a long axis.
+RUN = 1024
 
 
 def dense_totals(
@@ -17,8 +21,9 @@ def dense_totals(
 
     One conditional sum per year puts the whole grid row of a key into a single
     aggregation, so the fact table is shuffled once, after map-side combining,
-    and no key-by-year product is ever joined.  With many years each key gets a
-    map of its sums instead, and the axis reaches it as a row of a table.  A key whose times are all null has zeros only.
+    and no key-by-year product is ever joined.  With many years the axis is a
+    table of runs of ``RUN`` times, which each key meets run by run, so no task
+    and no row holds it all.  A key whose times are all null has zeros only.
     """
     found = df.select(time).filter(F.col(time).isNotNull()).distinct()
     times = sorted(r[0] for r in found.limit(limits.wide_years + 1).collect())
@@ -31,13 +36,14 @@ def dense_totals(
         sums = [F.sum(F.when(F.col(time) == F.lit(t), F.col(volume))).alias(f"__t{i}") for i, t in enumerate(times)]
         cells = [F.struct(year(t), zero_if_null(f"__t{i}").alias(name)) for i, t in enumerate(times)]
         return df.groupBy(key).agg(*sums).select(key, F.inline(F.array(*cells)))
-    # Many years: at most one entry per year in each key's map.
-    sums = df.groupBy(key, time).agg(F.sum(volume).alias(name))
-    entry = F.when(F.col(time).isNotNull(), F.struct(time, name))
-    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("__m"))
-    axis_row = found.agg(F.collect_set(time).alias("__axis"))  # one value per year, and every key has them all
-    grid = maps.crossJoin(F.broadcast(axis_row)).select(key, "__m", F.explode("__axis").alias(time))
-    return grid.select(key, time, zero_if_null(F.try_element_at("__m", F.col(time))).alias(name))
+    ranked = indexed(materialise(found, "axis"), [time], "slot", limits).withColumn("run", F.expr(f"cast(slot div {RUN} as int)"))
+    runs = materialise(ranked.groupBy("run").agg(F.collect_list(time).alias("times")), "axis-runs")
+    every_run = F.explode(F.sequence(F.lit(0), F.lit(runs.count() - 1))).alias("run")
+    keys = df.select(F.col(key).alias("grid_key")).distinct().select("grid_key", every_run)
+    grid = keys.join(runs, "run").select("grid_key", F.explode("times").alias("grid_time"))
+    sums = df.groupBy(key, time).agg(F.sum(volume).alias("total"))
+    joined = grid.join(sums, (F.col("grid_key") == F.col(key)) & (F.col("grid_time") == F.col(time)), "left")
+    return joined.select(F.col("grid_key").alias(key), F.col("grid_time").alias(time), zero_if_null("total").alias(name))
 
 
 def totals_changes(totals: DataFrame, key: str, time: str, name: str = "total_discharges") -> DataFrame:

@@ -136,6 +136,34 @@ def dependence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries.dependence_query(spark, sf_dir).agg(F.count_distinct("row_id").alias("n_rows"), F.count_distinct("feature").alias("n_features"))
 
 
+def ranked_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures whose changes are largest on average, as contributions are ranked, and which is the strongest."""
+    wide = windows.fill_changes(windows.panel_changes(panel(spark, sf_dir)))
+    entries = [
+        F.struct(F.lit(i).alias("feature_index"), F.lit(m).alias("feature"), F.col(windows.yoy_name(m)).alias("phi")) for i, m in enumerate(R.measures)
+    ]
+    mean = materialise(explain.mean_abs_shapley(wide.select(F.inline(F.array(*entries)))), "mean-changes")
+    top = F.col("feature") == F.lit(explain.top_feature(mean))
+    return rounded(explain.summary(mean, 3).withColumn("is_top", top), 4)
+
+
+def dependence_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dependence table written and read back: its rows, and those equal to the model table's."""
+    phi = queries.shapley(spark, sf_dir)
+    pairs = explain.dependence(phi, explain.top_feature(explain.mean_abs_shapley(phi)))
+    back = spark.read.parquet(write_table(pairs, folder(spark, "tables"), "shap_dependence", "Discharges Prediction"))
+    same = back.join(pairs, ["row_id", "feature", "value", "phi"], "left_semi").count()
+    return back.agg(F.count("*").alias("n_rows")).withColumn("n_same", F.lit(same))
+
+
+def importance_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in importances of Task 2, written and read back: one row a feature, and their sum."""
+    task = fitted_tasks(spark, sf_dir)["2"]
+    table_of = explain.builtin_importance(spark, task.model, task.features)
+    back = spark.read.parquet(write_table(table_of, folder(spark, "tables"), "feature_importance", task.task.model_name))
+    return rounded(back.agg(F.count_distinct("feature").alias("n_features"), F.sum("importance").alias("importance")))
+
+
 def importance_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     task = fitted_tasks(spark, sf_dir)["1a"]
     every = explain.builtin_importance(spark, task.model, task.features, top=len(task.features))
@@ -255,6 +283,9 @@ def registered() -> dict[str, Query]:
         "l4_feature_values": feature_values,
         "n1_additive_rows": additive_rows,
         "n5_dependence_rows": dependence_rows,
+        "n3_ranked_changes": ranked_changes,
+        "a5_dependence_back": dependence_back,
+        "a6_importance_back": importance_back,
         "n6_importance_sum": importance_sum,
         "n7_permutation_rows": permuted_features,
     }
@@ -310,6 +341,15 @@ def oracle_sql() -> dict[str, str]:
         "l4_feature_values": feature_values_sql(),
         "n1_additive_rows": panel_sql(f"select least(300, {tested}) as n_rows, least(300, {tested}) as n_additive"),
         "n5_dependence_rows": panel_sql(f"select least(300, {tested}) as n_rows, 1 as n_features"),
+        "n3_ranked_changes": panel_sql(
+            "select feature_index, feature, round(mean_abs_phi, 4) as mean_abs_phi, "
+            "mean_abs_phi = max(mean_abs_phi) over () as is_top from (select feature_index, feature, avg(abs(phi)) as mean_abs_phi from ("
+            + " union all ".join(f"select {i} as feature_index, '{m}' as feature, yoy_{m}_change as phi from changes" for i, m in enumerate(oracle.MEASURES))
+            + ") group by 1, 2 order by 3 desc, 1 limit 3)",
+            oracle.LAGGED, oracle.CHANGES,
+        ),
+        "a5_dependence_back": panel_sql(f"select least(300, {tested}) as n_rows, least(300, {tested}) as n_same"),
+        "a6_importance_back": panel_sql("select count(*) as n_features, 1.0 as importance from (values ('yr'), ('prev_year_discharges'), ('yoy_change'))"),
         "n6_importance_sum": panel_sql("select 42 as n_features, 1.0 as importance from (select count(*) as n from panel) where n > 0"),
         "n7_permutation_rows": panel_sql("select 42 as n_rows, 42 as n_features from (select count(*) as n from panel) where n > 0"),
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..roles import REGION_WORDS
+
 MEASURES = ("discharges", "mean_cost", "median_cost", "mean_charge", "median_charge")
 MONEY = MEASURES[1:]
 KEYS = "facility_id, drg_code, severity_code"
@@ -41,7 +43,7 @@ CHANGES = (
     + ", ".join(f"coalesce({RATIO[m]}, 0.0) as yoy_{m}_change" for m in MEASURES)
     + f", {RATIO['discharges']} as raw_yoy, {TREND} as trend from lagged)"
 )
-REGION_LIST = "NORTH|SOUTH|EAST|WEST|CENTRAL|UPSTATE|DOWNSTATE|NYC|BROOKLYN|BRONX|MANHATTAN|QUEENS|STATEN ISLAND"
+REGION_LIST = "|".join(REGION_WORDS)
 REGIONS = f"""
 regions as (
   select *, coalesce(nullif(regexp_extract(facility_name, '({REGION_LIST})', 1), ''), 'OTHER') as facility_region
@@ -149,23 +151,19 @@ from parsed
 
 
 def bins() -> str:
-    """Distinct quantile edges below the value, less the lowest one."""
+    """Distinct quantile edges below the value, less the lowest one; every edge is a number of its own."""
     probs = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
-    stats = ", ".join(
-        f"stddev_samp({c}) / avg({c}) as cv_{c}, quantile_cont({c}, {list(probs)}) as e_{c}" for c in MONEY
-    )
+    edge = lambda c, i: f"quantile_cont({c}, {probs[i]}) as e{i}_{c}"
+    stats = [f"stddev_samp({c}) / avg({c}) as cv_{c}" for c in MONEY] + [edge(c, i) for c in MONEY for i in range(6)]
 
     def below(c: str) -> str:
-        first = f"case when e_{c}[1] < {c} then 1 else 0 end"
-        rest = [
-            f"case when e_{c}[{i}] < {c} and e_{c}[{i}] > e_{c}[{i - 1}] then 1 else 0 end" for i in range(2, len(probs) + 1)
-        ]
-        return " + ".join([first, *rest])
+        rest = [f"case when e{i}_{c} < {c} and e{i}_{c} > e{i - 1}_{c} then 1 else 0 end" for i in range(1, 6)]
+        return " + ".join([f"case when e0_{c} < {c} then 1 else 0 end", *rest])
 
-    columns = ", ".join(
-        f"case when cv_{c} > 0.5 then cast(greatest(0, {below(c)} - 1) as int) end as {c}_binned" for c in MONEY
+    columns = ", ".join(f"case when cv_{c} > 0.5 then cast(greatest(0, {below(c)} - 1) as int) end as {c}_binned" for c in MONEY)
+    return with_panel(
+        f"select {ID}, {columns} from panel join edges on edges.one = 1", f"edges as materialized (select 1 as one, {', '.join(stats)} from panel)"
     )
-    return with_panel(f"select {ID}, {columns} from panel cross join edges", f"edges as (select {stats} from panel)")
 
 
 def caps() -> str:
@@ -359,6 +357,15 @@ def oracle_sql() -> dict[str, str]:
             "case when severity_code = 'R' then 1 else 0 end as \"severity_code_R\", "
             "case when med_surg_code = 'O' then 1 else 0 end as \"med_surg_code_O\" from panel"
         ),
+        "l3_code_positions": with_panel(
+            "select drg_code, yr, round(coalesce(total, 0.0), 6) as total_discharges, nullif(slot, 0) - 1 as hot_position "
+            "from (select drg_code, row_number() over (order by drg_code) - 1 as slot from (select distinct drg_code from panel)) "
+            "cross join (select distinct yr from panel) "
+            "left join (select drg_code, yr, sum(discharges) as total from panel group by 1, 2) using (drg_code, yr)"
+        ),
+        "j4_text_keys": with_panel(
+            f"select {ID}, concat_ws('_', facility_id, drg_code, severity_code) as facility_drg_key, cast(yr as varchar) as year_cat from panel"
+        ),
         "l2_unknown_category": (
             f"with {YEARS}, seen as (select l_partkey, row_number() over (order by cast(l_partkey as varchar)) - 1 as slot "
             "from (select distinct l_partkey from lines where yr < 1996)) "

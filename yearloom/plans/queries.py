@@ -194,6 +194,13 @@ def unknown_category_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.withColumnRenamed("l_partkey_position", "hot_position")
 
 
+def code_positions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task 2's codes, fitted on all its rows and put beside them; the first code has none."""
+    grid = totals.dense_totals(panel(spark, sf_dir), R.prefix_code, R.time, R.volume)
+    fitted = encode.DropFirstEncoding.fit(grid, R.prefix_code)
+    return rounded(fitted.positions(grid).withColumnRenamed(f"{R.prefix_code}_position", "hot_position"))
+
+
 # -- models --------------------------------------------------------------------
 
 
@@ -228,6 +235,12 @@ def naive_report(p: DataFrame) -> DataFrame:
     return text.select("Task", "RMSE", "MAE", F.col("R²").alias("r2_text"))
 
 
+def rounds_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rounds each task's model kept."""
+    kept = [(f.task.title, f.model.getNumTrees) for f in fitted_tasks(spark, sf_dir).values()]
+    return spark.createDataFrame(kept, "task string, rounds int")
+
+
 def features_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = feature_tables(spark, sf_dir)
     flat = encode.assemble(tables.rows, tables.features, "discharges", [*R.keys, R.time])
@@ -362,8 +375,11 @@ def queries() -> dict[str, Query]:
         # encoding
         "l1_one_hot": on_panel(one_hot_query, ["severity_code_N", "severity_code_R", "med_surg_code_O"]),
         "l2_unknown_category": unknown_category_query,
+        "l3_code_positions": code_positions_query,
         "l4_features": features_query,
+        "j4_text_keys": on_panel(windows.readable_keys, ["facility_drg_key", "year_cat"]),
         # metrics and models
+        "m1_rounds": rounds_query,
         "m5_metrics": on_panel(naive_metrics),
         "j12_report_text": on_panel(naive_report),
         "m1_predict": lambda s, d: fitted_tasks(s, d)["1a"].predictions,
