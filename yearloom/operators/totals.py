@@ -39,7 +39,9 @@ def dense_totals(
     ranked = indexed(materialise(found, "axis"), [time], "slot", limits).withColumn("run", F.expr(f"cast(slot div {RUN} as int)"))
     runs = materialise(ranked.groupBy("run").agg(F.collect_list(time).alias("times")), "axis-runs")
     every_run = F.explode(F.sequence(F.lit(0), F.lit(runs.count() - 1))).alias("run")
-    keys = df.select(F.col(key).alias("grid_key")).distinct().select("grid_key", every_run)
+    # Few keys are dealt by run, so that their cells are not all made where the key happens to be.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(F.col(key).alias("grid_key")).distinct().select("grid_key", every_run).repartition(parts, "grid_key", "run")
     grid = keys.join(runs, "run").select("grid_key", F.explode("times").alias("grid_time"))
     sums = df.groupBy(key, time).agg(F.sum(volume).alias("total"))
     joined = grid.join(sums, (F.col("grid_key") == F.col(key)) & (F.col("grid_time") == F.col(time)), "left")
