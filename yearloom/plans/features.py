@@ -5,14 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from ..functions import zero_if_null
 from ..operators import quality
 from ..operators.profile import numeric_columns
 from ..operators.stats import all_entity_means, join_stats, region_stats, with_region
 from ..operators.totals import dense_totals, totals_changes
-from ..operators.windows import readable_keys, temporal_features
+from ..operators.trailing import last_years, trailing_means
+from ..operators.windows import event_flags, readable_keys, temporal_features
 from ..roles import DEFAULT_LIMITS, DEFAULT_ROLES, DEFAULT_SETTINGS, Limits, PanelRoles, Settings
-from ..scale import materialise
+from ..scale import lookup, materialise
 
 
 @dataclass
@@ -76,13 +80,55 @@ def repaired(
     return quality.repair_numbers(clipped, numeric_columns(clipped), settings.cap_above, settings.tails, limits)
 
 
+def strict_rows(
+    panel: DataFrame,
+    roles: PanelRoles = DEFAULT_ROLES,
+    settings: Settings = DEFAULT_SETTINGS,
+    limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
+    """Panel rows with features that only earlier years decide; 0 where there is no earlier year.
+
+    Trailing means of every entity, the panel key's last years, the year and the
+    flags that follow from year and code.  No measure of a row's own year or of
+    a later one can move any of them.
+    """
+    rows = quality.drop_equal_rows(panel.drop(roles.extra_key))
+    key = list(roles.keys)
+    found = [([k], trailing_means(panel, rows, [k], roles.time, roles.measures, prefix)) for k, prefix in roles.entities]
+    found.append((key, trailing_means(panel, rows, key, roles.time, [roles.volume], "key")))
+    found.append((key, last_years(panel, rows, key, roles.time, roles.measures, roles.volume)))
+    wide = event_flags(rows, roles, settings)
+    for keys, table in found:
+        wide = lookup(wide, materialise(table, "trailing"), [*keys, roles.time], limits)
+    made = [c for c in wide.columns if c not in rows.columns]
+    return wide.select(*rows.columns, *[zero_if_null(c).alias(c) for c in made])
+
+
+def strict_totals(totals: DataFrame, roles: PanelRoles = DEFAULT_ROLES) -> DataFrame:
+    """Yearly totals whose change is that of the year before, since a year's own change holds its total."""
+    before = F.lag("yoy_change").over(W.partitionBy(roles.prefix_code).orderBy(roles.time))
+    return totals.withColumn("yoy_change", zero_if_null(before))
+
+
 def build_features(
     panel: DataFrame,
     roles: PanelRoles = DEFAULT_ROLES,
     settings: Settings = DEFAULT_SETTINGS,
     limits: Limits = DEFAULT_LIMITS,
+    leakage: str = "reference",
 ) -> FeatureTables:
-    """Both model tables from a written, clean panel."""
+    """Both model tables from a written, clean panel.
+
+    ``leakage``: "reference" keeps the published features, of which some hold
+    the target's own year or later ones; "strict" has those of earlier years only.
+    """
+    if leakage not in ("reference", "strict"):
+        raise ValueError(f"leakage is reference or strict, not {leakage}")
+    if leakage == "strict":
+        rows = materialise(strict_rows(panel, roles, settings, limits), "strict-rows")
+        grid = dense_totals(panel, roles.prefix_code, roles.time, roles.volume, limits=limits)
+        totals = strict_totals(totals_changes(grid, roles.prefix_code, roles.time), roles)
+        return FeatureTables(rows, feature_names(rows, roles), materialise(totals, "totals"))
     rows = repaired(engineered(panel, roles, settings, limits), roles, settings, limits)
     totals = totals_changes(
         dense_totals(panel, roles.prefix_code, roles.time, roles.volume, limits=limits), roles.prefix_code, roles.time

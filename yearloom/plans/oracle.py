@@ -166,6 +166,36 @@ def bins() -> str:
     )
 
 
+def strict_features() -> str:
+    """Means over all rows of earlier years, each key's rows joined with those of the years before."""
+    levels = {"facility": ("facility_id", MEASURES), "drg": ("drg_code", MEASURES), "severity": ("severity_code", MEASURES), "key": (KEYS, MEASURES[:1])}
+    tables, names = [], []
+    for x, (key, measures) in levels.items():
+        sums = ", ".join(f"sum({m}) as s_{m}" for m in measures)
+        tables.append(f"{x}_sums as (select {key}, yr, count(*) as n, {sums} from panel group by all)")
+        mine = [f"{x}_trailing_{m}" for m in measures]
+        means = ", ".join(f"sum(s.s_{m}) / sum(s.n) as {c}" for m, c in zip(measures, mine))
+        columns = ", ".join(f"r.{k}" for k in key.split(", "))
+        same = " and ".join(f"r.{k} = s.{k}" for k in key.split(", "))
+        tables.append(f"{x}_before as (select {columns}, r.yr, {means} from {x}_sums r join {x}_sums s on {same} and s.yr < r.yr group by all)")
+        names += mine
+    tables.append(f"yearly as (select {KEYS}, yr, {', '.join(f'avg({m}) as {m}' for m in MEASURES)} from panel group by all)")
+    tables.append(f"""lasts as (
+      select {KEYS}, yr, {', '.join(f'lag({m}) over w as last_{m}' for m in MEASURES)}, lag(discharges, 2) over w as last2_discharges
+      from yearly window w as (partition by {KEYS} order by yr))""")
+    joined = " ".join(f"left join {x}_before using ({key}, yr)" for x, (key, _) in levels.items())
+    shown = [*names, *[f"last_{m}" for m in MEASURES], "last2_discharges"]
+    return with_panel(
+        f"select distinct {KEYS}, yr, {', '.join(f'round({m} + 1e-9, 4) as {m}' for m in MEASURES)}, "
+        "case when yr between 2000 and 2001 then 1 else 0 end as covid_period, "
+        "case when regexp_matches(drg_code, '^(4|7|13|14)') then 1 else 0 end as respiratory_drg, "
+        + ", ".join(f"round(coalesce({c}, 0.0) + 1e-9, 4) as {c}" for c in shown)
+        + ", round(coalesce((last_discharges - last2_discharges) / nullif(last2_discharges, 0), 0.0) + 1e-9, 4) as last_change_discharges "
+        f"from panel join lasts using ({KEYS}, yr) {joined}",
+        *tables,
+    )
+
+
 def caps() -> str:
     stats = ", ".join(
         f"max(abs({m})) as top_{m}, quantile_cont({m}, 0.01) as lo_{m}, quantile_cont({m}, 0.99) as hi_{m}"
@@ -357,6 +387,12 @@ def oracle_sql() -> dict[str, str]:
             "case when severity_code = 'R' then 1 else 0 end as \"severity_code_R\", "
             "case when med_surg_code = 'O' then 1 else 0 end as \"med_surg_code_O\" from panel"
         ),
+        "m2_strict_features": strict_features(),
+        "m2_strict_totals": (
+            f"with {YEARS}, {GRID}, steps as (select *, lag(total_discharges) over w as p, lag(total_discharges, 2) over w as p2 "
+            "from grid window w as (partition by l_partkey order by yr)) select l_partkey, yr, round(total_discharges, 6) as total_discharges, "
+            "round(coalesce(p, 0.0), 6) as prev_year_discharges, round(coalesce((p - p2) / nullif(p2, 0), 0.0), 6) as yoy_change from steps"
+        ),
         "l3_code_positions": with_panel(
             "select drg_code, yr, round(coalesce(total, 0.0), 6) as total_discharges, nullif(slot, 0) - 1 as hot_position "
             "from (select drg_code, row_number() over (order by drg_code) - 1 as slot from (select distinct drg_code from panel)) "

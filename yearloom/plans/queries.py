@@ -20,7 +20,7 @@ from ..operators import clean, encode, explain, forecast, models, profile, quali
 from ..roles import DEFAULT_ROLES
 from ..scale import materialise, sample_rows
 from .derived_panel import PANEL_SETTINGS, panel, state, table
-from .features import FeatureTables, build_features
+from .features import FeatureTables, build_features, strict_rows, strict_totals
 from .run import explain_task, forecasts
 from .tasks import TASKS, FittedTask, all_pairs, metrics_table, run_tasks, task_identity
 
@@ -251,6 +251,17 @@ def features_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def strict_query(p: DataFrame) -> DataFrame:
+    """Every feature of the leak-free mode, for every row; means are moved off exact halves, which engines round either way."""
+    rows = strict_rows(p, settings=S).drop(R.label)
+    return rows.withColumns({f.name: F.col(f.name) + 1e-9 for f in rows.schema.fields if isinstance(f.dataType, T.DoubleType)})
+
+
+def strict_totals_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = totals.dense_totals(line_years(spark, sf_dir), "l_partkey", "yr", "l_quantity")
+    return rounded(strict_totals(totals.totals_changes(grid, "l_partkey", "yr"), replace(R, prefix_code="l_partkey")))
+
+
 def shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = state(spark, sf_dir)
     if key not in _PHI:
@@ -380,6 +391,8 @@ def queries() -> dict[str, Query]:
         "j4_text_keys": on_panel(windows.readable_keys, ["facility_drg_key", "year_cat"]),
         # metrics and models
         "m1_rounds": rounds_query,
+        "m2_strict_features": on_panel(strict_query, places=4),
+        "m2_strict_totals": strict_totals_query,
         "m5_metrics": on_panel(naive_metrics),
         "j12_report_text": on_panel(naive_report),
         "m1_predict": lambda s, d: fitted_tasks(s, d)["1a"].predictions,
