@@ -85,8 +85,7 @@ class Remembered(dict):
     """What a worker has found for keys lately: ``find(key)`` is asked for the others.
 
     Two generations of at most ``most`` keys each: when the young one is full it
-    becomes the old one, so what is asked for often stays.  ``forget`` at the
-    end of a task leaves the memory to the next.
+    becomes the old one, so what is asked for often stays.
     """
 
     most = 100_000
@@ -113,6 +112,21 @@ class Remembered(dict):
         self._old = {}
 
 
+_HOLDER = None
+
+
+def hold(owner) -> None:
+    """Lets one operator remember things in this worker: another one's are forgotten when a task of ``owner`` begins.
+
+    Workers serve many tasks and operators; so what they remember helps the
+    next task of the same operator and never adds up.
+    """
+    global _HOLDER
+    if _HOLDER is not None and _HOLDER is not owner:
+        _HOLDER.forget()
+    _HOLDER = owner
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """The rows of all batches as tuples of Python values."""
     for batch in batches:

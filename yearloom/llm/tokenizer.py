@@ -14,15 +14,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 from struct import pack
 
-from yearloom.llm.common import Remembered
+from yearloom.llm.common import Remembered, hold
 
-#: Words kept in each of a worker's two generations: about 30 MB each.
-CACHE_WORDS = 150_000
+#: Words kept in each of a worker's two generations: about 50 MB each.
+CACHE_WORDS = 250_000
 
 # The split pattern of the word tokenizer for lower-case ASCII and Latin-1 letters.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -117,11 +115,8 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-@contextmanager
-def encoding(path: str) -> Iterator[Callable[[str | None], bytes]]:
-    """``ids`` of the worker's encoder for a tokenizer file; the words it met are forgotten at the end."""
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a tokenizer file; what other operators remember is forgotten."""
     own = _encoder(path)
-    try:
-        yield own.ids
-    finally:
-        own.forget()
+    hold(own)
+    return own

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from yearloom.llm.common import create_file, open_file, rows_of, session, shared_folder, to_batches
-from yearloom.llm.tokenizer import default_path, encoding
+from yearloom.llm.tokenizer import default_path, encoder
 from yearloom.scale.written import materialise
 
 MAGIC = b"YLPLANE1"
@@ -190,14 +190,13 @@ def write_tokens(
     end = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, n, shard = None, 0, TaskContext.get().partitionId()
-        with encoding(path) as ids:
-            for doc_id, text in rows_of(batches):
-                if writer is None:
-                    place, out = create_file(folder, f"shard-{shard:06d}", ".ylp")
-                    writer = Writer(out, kind, block_ids)
-                writer.add(doc_id, ids(text) + end)
-                n += 1
+        ids, writer, n, shard = encoder(path).ids, None, 0, TaskContext.get().partitionId()
+        for doc_id, text in rows_of(batches):
+            if writer is None:
+                place, out = create_file(folder, f"shard-{shard:06d}", ".ylp")
+                writer = Writer(out, kind, block_ids)
+            writer.add(doc_id, ids(text) + end)
+            n += 1
         if writer is not None:
             size = writer.close()
             out.close()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yearloom.llm.common import Remembered, session
+from yearloom.llm.common import Remembered, hold, session
 from yearloom.scale.written import materialise
 
 # Words by what they do in a clause; English, German, French, Spanish.
@@ -352,13 +352,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(cues)
-        try:
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                scores = pa.array([weights.score(reader.readings(t)) for t in texts], pa.float64())
-                yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
-        finally:
-            reader.forget()
+        hold(reader)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            scores = pa.array([weights.score(reader.readings(t)) for t in texts], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     return docs.mapInArrow(run, f"{fields}, score double")
