@@ -2,14 +2,16 @@
 
 import os
 import shutil
+import uuid
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import yearloom.scale.quantiles as quantile_module
-from yearloom.roles import Limits
-from yearloom.scale import grouped, hot_groups, indexed, lagged, lookup, materialise, modes, sample_rows
+from yearloom.operators import quality, windows
+from yearloom.roles import DEFAULT_ROLES, Limits
+from yearloom.scale import grouped, hot_groups, indexed, lagged, lookup, materialise, modes, release, sample_rows, written_so_far
 
 TINY = Limits(group_rows=50, broadcast_rows=10, buckets=8)
 PROBS = [0.0, 0.01, 0.2, 0.5, 0.77, 0.99, 1.0]
@@ -152,3 +154,95 @@ def test_input_state_needs_no_job_and_sees_changes(spark, sf, tmp_path):
         context.setLocalProperty("spark.jobGroup.id", None)
     assert not context.statusTracker().getJobIdsForGroup("state")
     assert first == again != changed and all(f"{n}.parquet" in files for n, files in zip(_INPUTS, first[2]))
+
+
+@pytest.fixture
+def jobs_of(spark):
+    """How many Spark jobs a piece of work starts."""
+    context = spark.sparkContext
+
+    def count(work):
+        name = f"jobs-{uuid.uuid4().hex}"
+        context.setJobGroup(name, name)
+        try:
+            work()
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        return len(context.statusTracker().getJobIdsForGroup(name))
+
+    return count
+
+
+def test_keys_of_a_written_table_are_counted_once(spark, skewed, jobs_of):
+    own = materialise(skewed, "own")
+    assert jobs_of(lambda: hot_groups(own, ["k"], TINY)) > 0
+    assert jobs_of(lambda: hot_groups(own, ["k"], TINY)) == 0
+    assert hot_groups(own, ["k"], TINY).count() == hot_groups(skewed, ["k"], TINY).count()
+    # Another limit, other columns and a changed table are other questions.
+    assert hot_groups(own, ["k"], Limits()) is None
+    assert hot_groups(own, ["k", "v"], TINY).count() > 0
+    assert hot_groups(own.filter("k = 'a'"), ["k"], Limits(group_rows=2900)) is None
+
+
+def test_windows_over_a_panel_share_one_count_of_its_keys(spark, small_panel, monkeypatch):
+    panel = materialise(small_panel.limit(400), "panel-part")
+    written = []
+    import yearloom.scale.groups as groups_module
+
+    plain = groups_module.materialise
+    monkeypatch.setattr(groups_module, "materialise", lambda df, label: written.append(label) or plain(df, label))
+    limits = Limits(group_rows=100)
+    first = windows.temporal_features(panel, DEFAULT_ROLES, limits=limits).count()
+    again = windows.panel_changes(panel, DEFAULT_ROLES, limits).count()
+    assert first == again == 400 and written.count("hot-groups") == 1
+
+
+def test_facts_are_forgotten_with_released_tables(spark, skewed):
+    own = materialise(skewed, "own")
+    mark = written_so_far()
+    before = hot_groups(own, ["k"], TINY).count()
+    release(spark, mark)
+    assert hot_groups(own, ["k"], TINY).count() == before
+
+
+def test_bins_and_tails_share_one_chain_of_rounds(skewed, monkeypatch):
+    chains = []
+    plain = quantile_module._counted_batch
+    monkeypatch.setattr(quantile_module, "_counted_batch", lambda *a: chains.append(list(a[2])) or plain(*a))
+    steps = [quality.bins_step(["v"], -1.0), quality.tails_step(["w"])]
+    together = quality.run_steps(skewed, steps, TINY).collect()
+    assert len(chains) == 1 and len(chains[0]) == 2
+    apart = quality.winsorise(quality.quantile_bins(skewed, ["v"], -1.0, limits=TINY), ["w"], limits=TINY).collect()
+    assert len(chains) == 3
+    key = lambda r: tuple("" if x is None else repr(x) for x in r)
+    assert sorted(map(key, together)) == sorted(map(key, apart))
+
+
+@pytest.mark.parametrize("limits", [Limits(), TINY])
+def test_steps_that_depend_on_each_other_wait_their_turn(spark, limits):
+    """Steps in any order give what one after the other gives; only dependent ones take another turn."""
+    rows = [(float(i), float(i * i % 97), float("inf") if i % 9 == 0 else float(i)) for i in range(150)]
+    df = materialise(spark.createDataFrame(rows, "a double, b double, c double"), "steps")
+    steps = [
+        quality.tails_step(["a"], (0.1, 0.9)),
+        quality.bins_step(["a"], -1.0),
+        quality.tails_step(["b"]),
+        quality.median_step(["c"]),
+        quality.tails_step(["c"], (0.2, 0.8)),
+        quality.median_step(["b"]),
+    ]
+    one_by_one = df
+    for step in steps:
+        one_by_one = quality.run_steps(one_by_one, [step], limits)
+    key = lambda r: tuple(sorted((k, repr(v)) for k, v in r.asDict().items()))
+    got = quality.run_steps(df, steps, limits)
+    assert sorted(map(key, got.collect())) == sorted(map(key, one_by_one.collect()))
+
+
+def test_steps_without_columns_or_rows(spark):
+    df = materialise(spark.createDataFrame([], "x double"), "no-rows")
+    assert quality.run_steps(df, []).columns == ["x"]
+    got = quality.run_steps(df, [quality.tails_step([]), quality.tails_step(["x"]), quality.median_step(["x"]), quality.bins_step(["x"])])
+    assert got.columns == ["x", "x_binned"] and got.count() == 0
+    nulls = materialise(spark.createDataFrame([(None,), (float("inf"),)], "x double"), "no-numbers")
+    assert [r["x"] for r in quality.run_steps(nulls, [quality.median_step(["x"])]).collect()] == [None, None]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -57,12 +58,57 @@ def unusual_flag(change: str | Column, settings: Settings = DEFAULT_SETTINGS) ->
     return direction(value > settings.unusual_upper, value < settings.unusual_lower)
 
 
-def tail_bounds(
-    df: DataFrame, columns: Sequence[str], tails: tuple[float, float], limits: Limits = DEFAULT_LIMITS
-) -> dict[str, tuple[float, float]]:
-    """Exact lower and upper quantile per column: one pass, one row to the driver."""
-    row = grouped(df, [], quantiles={c: (F.col(c), list(tails)) for c in columns}, limits=limits).first()
-    return {c: tuple(row[c]) for c in columns if row[c] is not None}
+@dataclass(frozen=True)
+class Step:
+    """A change of columns with numbers that are fitted on the table.
+
+    ``aggs`` and ``quantiles`` are the numbers it wants, all from the columns in
+    ``reads``; ``apply`` gets them by name and changes or adds ``writes``.
+    """
+
+    reads: frozenset[str]
+    writes: frozenset[str]
+    apply: Callable[[DataFrame, Mapping], DataFrame]
+    aggs: Mapping[str, Column] = field(default_factory=dict)
+    quantiles: Mapping[str, tuple[Column, Sequence[float]]] = field(default_factory=dict)
+
+
+def run_steps(df: DataFrame, steps: Sequence[Step], limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """The table after all steps, as if each had been fitted on the result of those before it.
+
+    What steps want of columns that no step before them changes is found
+    together: one pass over a small table, and one scan for the extent and one
+    chain of counting rounds over a large one.  Only a step that depends on an
+    earlier one waits for the next turn.
+    """
+    waiting = [s for s in steps if s.aggs or s.quantiles]
+    while waiting:
+        ready, later, changed, held = [], [], set(), set()
+        for step in waiting:
+            # Neither before what it depends on, nor past a waiting step that reads what it changes.
+            if step.reads & changed or (step.reads | step.writes) & held:
+                later.append(step)
+                held |= step.reads | step.writes
+            else:
+                ready.append(step)
+                changed |= step.writes
+        aggs = [c.alias(f"{i}_{name}") for i, s in enumerate(ready) for name, c in s.aggs.items()]
+        quantiles = {f"{i}_{name}": spec for i, s in enumerate(ready) for name, spec in s.quantiles.items()}
+        row = grouped(df, [], aggs, quantiles, limits).first()
+        for i, step in enumerate(ready):
+            df = step.apply(df, {name: row[f"{i}_{name}"] for name in [*step.aggs, *step.quantiles]})
+        waiting = later
+    return df
+
+
+def tails_step(columns: Sequence[str], tails: tuple[float, float] = DEFAULT_SETTINGS.tails) -> Step:
+    """Clip each column to its lower and upper quantile; one without values stays as it is."""
+
+    def apply(df: DataFrame, bounds: Mapping) -> DataFrame:
+        return df.withColumns({c: clip(c, *bounds[c]) for c in columns if bounds[c] is not None})
+
+    own = frozenset(columns)
+    return Step(own, own, apply, quantiles={c: (F.col(c), list(tails)) for c in columns})
 
 
 def winsorise(
@@ -71,10 +117,7 @@ def winsorise(
     tails: tuple[float, float] = DEFAULT_SETTINGS.tails,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    if not columns:
-        return df
-    bounds = tail_bounds(df, columns, tails, limits)
-    return df.withColumns({c: clip(c, lo, hi) for c, (lo, hi) in bounds.items()})
+    return run_steps(df, [tails_step(columns, tails)], limits)
 
 
 def negative_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -116,6 +159,29 @@ def bin_of(value: str | Column, edges: Sequence[float]) -> Column:
     return F.when(v.isNotNull(), bin_number)
 
 
+def bins_step(
+    columns: Sequence[str], threshold: float = DEFAULT_SETTINGS.dispersion, bins: int = DEFAULT_SETTINGS.bins
+) -> Step:
+    """Add ``<column>_binned``: quantile bins where std/mean is above the threshold, else null."""
+    probs = [i / bins for i in range(bins + 1)]
+
+    def apply(df: DataFrame, found: Mapping) -> DataFrame:
+        out = {}
+        for c in columns:
+            cv, edges = found[f"cv_{c}"], found[f"e_{c}"]
+            wide = cv is not None and cv > threshold and edges is not None
+            out[f"{c}_binned"] = bin_of(c, sorted(set(edges))) if wide else F.lit(None).cast("int")
+        return df.withColumns(out)
+
+    return Step(
+        frozenset(columns),
+        frozenset(f"{c}_binned" for c in columns),
+        apply,
+        {f"cv_{c}": F.try_divide(F.stddev_samp(c), F.avg(c)) for c in columns},
+        {f"e_{c}": (F.col(c), probs) for c in columns},
+    )
+
+
 def quantile_bins(
     df: DataFrame,
     columns: Sequence[str],
@@ -123,24 +189,13 @@ def quantile_bins(
     bins: int = DEFAULT_SETTINGS.bins,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Add ``<column>_binned``: quantile bins where std/mean is above the threshold, else null.
-
-    Deviation, mean and edges of all columns come from one pass.
-    """
-    probs = [i / bins for i in range(bins + 1)]
-    aggs = [F.try_divide(F.stddev_samp(c), F.avg(c)).alias(f"cv_{c}") for c in columns]
-    row = grouped(df, [], aggs, {f"e_{c}": (F.col(c), probs) for c in columns}, limits).first()
-    out = {}
-    for c in columns:
-        cv, edges = row[f"cv_{c}"], row[f"e_{c}"]
-        wide = cv is not None and cv > threshold and edges is not None
-        out[f"{c}_binned"] = bin_of(c, sorted(set(edges))) if wide else F.lit(None).cast("int")
-    return df.withColumns(out)
+    """``bins_step`` alone: deviation, mean and edges of all columns come from one pass."""
+    return run_steps(df, [bins_step(columns, threshold, bins)], limits)
 
 
 def infinite_to_median(df: DataFrame, columns: Sequence[str], limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """In columns with an infinite value: infinite and null values to the median of the rest."""
-    return _fill_infinite(df, [c for c, (found, _) in _extents(df, columns).items() if found], limits)
+    return run_steps(df, [median_step([c for c, (found, _) in _extents(df, columns).items() if found])], limits)
 
 
 def cap_extremes(
@@ -165,11 +220,18 @@ def repair_numbers(
     """Infinite values first, then the caps.
 
     One pass measures all columns for both steps, since a median lies inside
-    the finite range; quantiles are computed only for columns that need them.
+    the finite range; quantiles are computed only for columns that need them,
+    and only those that need both take two turns.
     """
     extents = _extents(df, columns)
-    finite = _fill_infinite(df, [c for c, (found, _) in extents.items() if found], limits)
-    return winsorise(finite, [c for c, (_, top) in extents.items() if top > above], tails, limits)
+    infinite = [c for c, (found, _) in extents.items() if found]
+    extreme = [c for c, (_, top) in extents.items() if top > above]
+    steps = [
+        median_step(infinite),
+        tails_step([c for c in extreme if c not in infinite], tails),
+        tails_step([c for c in extreme if c in infinite], tails),
+    ]
+    return run_steps(df, steps, limits)
 
 
 def _extents(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[bool, float]]:
@@ -181,9 +243,13 @@ def _extents(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[bool, flo
     return {c: (bool(row[f"inf_{c}"]), float(row[f"top_{c}"] or 0.0)) for c in columns}
 
 
-def _fill_infinite(df: DataFrame, columns: Sequence[str], limits: Limits) -> DataFrame:
-    if not columns:
-        return df
-    finite = df.withColumns({c: replace_infinite(c, None) for c in columns})
-    row = grouped(finite, [], quantiles={c: (F.col(c), [0.5]) for c in columns}, limits=limits).first()
-    return finite.withColumns({c: F.coalesce(F.col(c), F.lit(row[c][0])) for c in columns if row[c] is not None})
+def median_step(columns: Sequence[str]) -> Step:
+    """Infinite and null values to the median of the rest; without any other value they are null."""
+    finite = {c: replace_infinite(c, None) for c in columns}
+
+    def apply(df: DataFrame, found: Mapping) -> DataFrame:
+        middle = {c: F.lit(found[c][0] if found[c] is not None else None).cast("double") for c in columns}
+        return df.withColumns({c: F.coalesce(finite[c], middle[c]) for c in columns})
+
+    own = frozenset(columns)
+    return Step(own, own, apply, quantiles={c: (finite[c], [0.5]) for c in columns})

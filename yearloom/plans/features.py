@@ -75,8 +75,11 @@ def repaired(
     rows = materialise(quality.floor_at_zero(rows, roles.measures), "repaired")
     # From here on every step is a projection with fitted numbers over this one
     # written table: no further shuffle and no further copy.
-    binned = quality.quantile_bins(rows, roles.money, settings.dispersion, settings.bins, limits)
-    clipped = quality.winsorise(binned, [change], settings.tails, limits)
+    steps = [
+        quality.bins_step(roles.money, settings.dispersion, settings.bins),
+        quality.tails_step([change], settings.tails),
+    ]
+    clipped = quality.run_steps(rows, steps, limits)
     return quality.repair_numbers(clipped, numeric_columns(clipped), settings.cap_above, settings.tails, limits)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..roles import DEFAULT_LIMITS, Limits
-from .written import materialise
+from .written import materialise, remembered, row_count
 
 
 def hot_groups(df: DataFrame, by: Sequence[str], limits: Limits = DEFAULT_LIMITS) -> DataFrame | None:
@@ -18,13 +18,18 @@ def hot_groups(df: DataFrame, by: Sequence[str], limits: Limits = DEFAULT_LIMITS
     There are at most rows / group_rows of them.  Counting combines map-side,
     so a hot key costs one row per task.  When the whole table is within the
     limit no group can be above it and nothing is grouped; on a Parquet scan
-    that test reads footers only.
+    that test reads footers only.  A written table is counted once by the same
+    columns, however many windows and quantiles are taken over it.
     """
-    if df.count() <= limits.group_rows:
-        return None
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    hot = materialise(sizes.filter(F.col("n") > limits.group_rows), "hot-groups")
-    return None if hot.isEmpty() else hot
+
+    def find() -> DataFrame | None:
+        if row_count(df) <= limits.group_rows:
+            return None
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        hot = materialise(sizes.filter(F.col("n") > limits.group_rows), "hot-groups")
+        return None if hot.isEmpty() else hot
+
+    return remembered(df, ("hot groups", frozenset(by), limits.group_rows), find)
 
 
 def same_keys(left: Sequence[Column], right: Sequence[Column]) -> Column:
@@ -37,7 +42,7 @@ def sized(table: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     Beyond the bound the join stays a shuffle join, where adaptive execution
     splits skewed partitions.
     """
-    return F.broadcast(table) if table.count() <= limits.broadcast_rows else table
+    return F.broadcast(table) if row_count(table) <= limits.broadcast_rows else table
 
 
 def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], limits: Limits = DEFAULT_LIMITS) -> DataFrame:
@@ -55,6 +60,6 @@ def keyed_join(df: DataFrame, table: DataFrame, by: Sequence[str], how: str, lim
     )
     if how in ("left_semi", "left_anti"):
         renamed = renamed.select(*[f"__{b}" for b in by])
-    right = F.broadcast(renamed) if table.count() <= limits.broadcast_rows else renamed
+    right = F.broadcast(renamed) if row_count(table) <= limits.broadcast_rows else renamed
     joined = df.join(right, same_keys([F.col(b) for b in by], [F.col(f"__{b}") for b in by]), how)
     return joined.drop(*[f"__{b}" for b in by])

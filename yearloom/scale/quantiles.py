@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import clip
 from ..roles import DEFAULT_LIMITS, Limits
 from .groups import hot_groups, keyed_join
-from .written import materialise
+from .written import materialise, row_count
 
 Specs = Mapping[str, tuple[Column, Sequence[float]]]
 
@@ -66,7 +66,7 @@ def grouped(
     is_hot = F.col("__n").isNotNull()
     cold = [_direct(F.when(~is_hot, number(c)), p).alias(f"__c{names[a]}") for a, (c, p) in quantiles.items()]
     base = marked.groupBy(*by).agg(*aggs, *cold)
-    found = _few_hot(df, hot, by, quantiles, limits) if hot.count() <= _FEW_GROUPS else None
+    found = _few_hot(df, hot, by, quantiles, limits) if row_count(hot) <= _FEW_GROUPS else None
     if found is None:
         values = [number(c).alias(names[a]) for a, (c, _) in quantiles.items()]
         probs = {names[a]: list(p) for a, (_, p) in quantiles.items()}
@@ -79,7 +79,7 @@ def grouped(
 
 def _whole_table(df: DataFrame, aggs: Sequence[Column], quantiles: Specs, limits: Limits) -> DataFrame:
     """One row for the whole table."""
-    if df.count() <= limits.group_rows // 2:
+    if row_count(df) <= limits.group_rows // 2:
         return df.agg(*aggs, *[_direct(number(c), p).alias(a) for a, (c, p) in quantiles.items()])
     answers = _counted(df.withColumn("__g", F.lit(0)), 1, quantiles, limits)[0]
     result = [_array(answers[a]).alias(a) for a in quantiles]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..roles import DEFAULT_LIMITS, Limits
 from .groups import hot_groups, keyed_join
-from .written import materialise
+from .written import materialise, row_count
 
 Lags = Mapping[str, tuple[str, int]]
 
@@ -79,7 +79,7 @@ def indexed(
     df: DataFrame, order: Sequence[str], name: str = "row_index", limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """Number the rows 0..n-1 in the given order, in parallel when they exceed one task."""
-    rows = df.count()
+    rows = row_count(df)
     if rows <= limits.group_rows:
         number = F.row_number().over(W.orderBy(*order)) - 1
         return df.withColumn(name, number.cast("long"))
@@ -107,7 +107,7 @@ def sample_rows(
     count as one group; if the cut-off falls inside one, as many of its rows as
     are missing are taken.
     """
-    rows = df.count()
+    rows = row_count(df)
     if rows <= n:
         return df
     score = F.xxhash64(F.lit(seed), *[F.col(c) for c in identity])

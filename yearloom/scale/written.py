@@ -8,11 +8,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import TypeVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
 _WRITTEN: list[str] = []
+# What was found out about tables that are in use, by the table itself.
+_FACTS: WeakKeyDictionary[DataFrame, dict] = WeakKeyDictionary()
+
+Fact = TypeVar("Fact")
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -43,7 +50,26 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     )
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _FACTS[table] = {}
+    return table
+
+
+def remembered(table: DataFrame, name: Hashable, find: Callable[[], Fact]) -> Fact:
+    """``find()``, asked once for a table that ``materialise`` returned, since its files never change.
+
+    Any other DataFrame, also one derived from such a table, is asked each time.
+    """
+    facts = _FACTS.get(table)
+    if facts is None:
+        return find()
+    if name not in facts:
+        facts[name] = find()
+    return facts[name]
+
+
+def row_count(table: DataFrame) -> int:
+    return remembered(table, "rows", table.count)
 
 
 def written_so_far() -> int:
@@ -55,8 +81,11 @@ def release(spark: SparkSession, since: int = 0) -> int:
     """Deletes what ``materialise`` wrote after the mark, once its readers are done; returns how many tables.
 
     Marks count all tables of the application, so runs that release what they
-    wrote go one after the other.
+    wrote go one after the other.  What was remembered of any table is
+    forgotten, as it may name one of the deleted tables.
     """
+    for facts in _FACTS.values():
+        facts.clear()
     paths = _WRITTEN[since:]
     del _WRITTEN[since:]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
