@@ -9,6 +9,7 @@ from llm_helpers import shingles, words_of
 from yearloom.llm import minhash
 from yearloom.llm.components import components
 from yearloom.llm.shingles import shingle_sets, word_hashes
+from yearloom.roles import DEFAULT_LIMITS
 from yearloom.scale.written import materialise
 
 
@@ -78,7 +79,7 @@ def test_no_documents(spark, docs):
 def test_shuffled_places_and_small_blocks_give_the_same(spark, docs, gibberish, monkeypatch):
     rows = list(enumerate(corpus(gibberish)))
     monkeypatch.setattr(minhash, "BROADCAST_NODES", 0)
-    monkeypatch.setattr(minhash.deal_in_blocks, "__defaults__", (4,))
+    monkeypatch.setattr(minhash.deal_in_blocks, "__defaults__", (4, DEFAULT_LIMITS))
     monkeypatch.setattr(minhash, "SET_BLOCK_ROWS", 3)
     got = minhash.near_duplicates(docs(rows), width=3, percent=85).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(components_of(rows, 3, 85))
