@@ -120,7 +120,9 @@ def test_five_tasks_report(tables):
     text = models.report_text(metrics_table(done))
     assert text.columns == ["Task", "RMSE", "MAE", "R²"]
     for f in done:
-        assert f.model.numFeatures == len(f.features)
+        names = {r["feature_index"]: r["feature"] for r in f.names.collect()}
+        assert sorted(names) == list(range(f.model.numFeatures))
+        assert [names[i] for i in range(len(f.features))] == f.features
 
 
 def test_whole_analysis_from_csv(spark, small_panel, tmp_path):

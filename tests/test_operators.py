@@ -336,6 +336,23 @@ def test_one_hot_drops_the_first_and_zeroes_the_unknown(spark):
     assert rows_of(flat, "code_100", "code_9") == [(0, 1), (0, 0), (0, 0), (0, 0)]
 
 
+def test_a_long_code_list_stays_in_its_table(spark, monkeypatch):
+    """100,000 codes: vectors and names meet by position, and no list of codes comes to the driver."""
+    n = 100_000
+    rows = spark.range(n).select(F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("code"), F.lit(1.0).alias("f"))
+    monkeypatch.setattr(type(rows), "collect", lambda *_: pytest.fail("collected"))
+    coded = encode.fit_encodings(rows, ["code"])
+    flat = encode.assemble(rows, ["f"], keep=["code"], encodings=coded)
+    names = encode.feature_names(spark, ["f"], coded)
+    monkeypatch.undo()
+    assert names.count() == names.select("feature_index").distinct().count() == n
+    assert names.agg(F.min("feature_index"), F.max("feature_index")).first()[:] == (0, n - 1)
+    at = {r["feature"]: r["feature_index"] for r in names.filter(F.col("feature").isin("f", "code_c000001", "code_c099999")).collect()}
+    assert at == {"f": 0, "code_c000001": 1, "code_c099999": n - 1}
+    few = flat.filter(F.col("code").isin("c000000", "c000001", "c099999")).orderBy("code").collect()
+    assert [(r["features"].size, r["features"].indices.tolist()) for r in few] == [(n, [0]), (n, [0, 1]), (n, [0, n - 1])]
+
+
 def test_assemble_orders_blocks_and_zero_fills(spark):
     df = spark.createDataFrame([("a", 1.0, None, "x"), ("b", 2.0, 3.0, "y")], "code string, f double, g double, t string")
     coded = encode.fit_encodings(df, ["code"])

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import as_feature, flag
@@ -22,7 +22,10 @@ def category_table(df: DataFrame, column: str, limits: Limits = DEFAULT_LIMITS)
 
 
 def one_hot_columns(df: DataFrame, column: str, categories: Sequence[str]) -> DataFrame:
-    """A 0/1 column per category but the first; a value outside the list gives zeros only."""
+    """A 0/1 column per category but the first; a value outside the list gives zeros only.
+
+    For a few known categories: columns are part of the plan.  ``DropFirstEncoding`` takes any number.
+    """
     text = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
     return df.select("*", *[flag(text == c).alias(f"{column}_{c}") for c in sorted(categories)[1:]])
 
@@ -75,6 +78,22 @@ class DropFirstEncoding:
         return encoder.fit(coded).transform(coded).drop("__slot")
 
 
+NAMES = "feature_index int, feature string"
+
+
+def feature_names(spark: SparkSession, features: Sequence[str], encodings: Sequence[DropFirstEncoding] = ()) -> DataFrame:
+    """(feature_index, feature) for every position of a vector that ``assemble`` builds; categories stay in their tables."""
+    names, base = spark.createDataFrame(list(enumerate(features)), NAMES), len(features)
+    for encoding in encodings:
+        names = names.unionByName(encoding.names().select((F.col("position") + base).cast("int").alias("feature_index"), "feature"))
+        base += max(0, encoding.size - 1)
+    return materialise(names, "feature-names") if encodings else names
+
+
+def name_table(spark: SparkSession, names: Sequence[str] | DataFrame) -> DataFrame:
+    return names if isinstance(names, DataFrame) else feature_names(spark, names)
+
+
 def fit_encodings(df: DataFrame, columns: Sequence[str], limits: Limits = DEFAULT_LIMITS) -> list[DropFirstEncoding]:
     return [DropFirstEncoding.fit(df, c, limits) for c in columns]
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..roles import DEFAULT_LIMITS, Limits
-from ..scale import indexed, materialise, sample_rows
+from ..scale import indexed, lookup, materialise, sample_rows
+from .encode import name_table
 from .ensembles import path_table, some_trees, trees_by_feature, trees_of
 
 # Explained rows, background rows, and features shown.
@@ -48,7 +49,7 @@ def _reached(x: Column) -> Column:
     return F.aggregate(met, F.lit(0), lambda a, b: a + b)
 
 
-def shapley_values(model, rows: DataFrame, background: DataFrame, names: Sequence[str]) -> DataFrame:
+def shapley_values(model, rows: DataFrame, background: DataFrame, names: Sequence[str] | DataFrame) -> DataFrame:
     """Exact Shapley values as (row_id, feature_index, feature, value, phi), over the paths of the model's trees.
 
     The game of a row x and a background row z gives a set S of features the
@@ -94,11 +95,9 @@ def shapley_values(model, rows: DataFrame, background: DataFrame, names: Sequenc
         "path", "by_x", F.get("features", F.col("place")).alias("feature_index"), (F.col("part") * F.col("value") / F.lit(float(max(1, size)))).alias("share")
     )
     shares = met.join(materialise(valued, "path-shares"), ["path", "by_x"]).groupBy("row_id", "feature_index").agg(F.sum("share").alias("phi"))
-    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("feature_index") + 1)
     each = rows.filter(F.lit(size > 0)).select("row_id", F.posexplode("x").alias("feature_index", "value"))
-    return each.join(shares, ["row_id", "feature_index"], "left").select(
-        "row_id", "feature_index", label.alias("feature"), "value", F.coalesce("phi", F.lit(0.0)).alias("phi")
-    )
+    named = lookup(each.join(shares, ["row_id", "feature_index"], "left"), name_table(spark, names), ["feature_index"])
+    return named.select("row_id", "feature_index", "feature", "value", F.coalesce("phi", F.lit(0.0)).alias("phi"))
 
 
 def mean_abs_shapley(phi: DataFrame) -> DataFrame:
@@ -119,17 +118,19 @@ def dependence(phi: DataFrame, feature: str) -> DataFrame:
     return phi.filter(F.col("feature") == feature).select("row_id", "feature", "value", "phi")
 
 
-def builtin_importance(spark, model, names: Sequence[str], top: int = TOP_FEATURES) -> DataFrame:
-    weights = model.featureImportances
-    rows = [(i, n, float(weights[i])) for i, n in enumerate(names)]
-    table = spark.createDataFrame(rows, "feature_index int, feature string, importance double")
+def builtin_importance(spark, model, names: Sequence[str] | DataFrame, top: int = TOP_FEATURES) -> DataFrame:
+    """The features with the highest importance; only those that trees use, bounded by the trees, come from the driver."""
+    used = [(i, float(w)) for i, w in enumerate(model.featureImportances.toArray()) if w]
+    weights = F.broadcast(spark.createDataFrame(used, "feature_index int, weight double"))
+    table = name_table(spark, names).join(weights, "feature_index", "left")
+    table = table.select("feature_index", "feature", F.coalesce("weight", F.lit(0.0)).alias("importance"))
     return table.orderBy(F.desc("importance"), "feature_index").limit(top)
 
 
 def permutation_importance(
     model,
     test: DataFrame,
-    names: Sequence[str],
+    names: Sequence[str] | DataFrame,
     identity: Sequence[str],
     seed: int = 42,
     limits: Limits = DEFAULT_LIMITS,
@@ -171,13 +172,13 @@ def permutation_importance(
         inverse, shift = (pow(step, -1, n) if n > 1 else 0), (7_919 * (f + 1)) % max(1, n)
         to = F.pmod(F.lit(inverse).cast("decimal(19,0)") * (F.col("i") - F.lit(shift)).cast("decimal(19,0)"), F.lit(max(1, n)).cast("decimal(38,0)"))
         given.append(F.struct(to.cast("long").alias("i"), F.lit(f).alias("f"), F.get("x", F.lit(f)).alias("value")))
-    table = spark.createDataFrame([(f, names[f]) for f in range(len(names))], "feature_index int, feature string")
+    table = name_table(spark, names)
     if not n or not given:
         return table.select("feature_index", "feature", F.lit(0.0 if n else None).cast("double").alias("rmse_increase"))
     received = base.select(F.inline(F.array(*given))).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("moved"))
     changed = {
         f"features_{f}": array_to_vector(
-            F.concat(F.slice("x", 1, f), F.array(F.col("moved")[place]["value"]), F.slice("x", f + 2, max(0, len(names) - f - 1)))
+            F.concat(F.slice("x", 1, f), F.array(F.col("moved")[place]["value"]), F.slice("x", f + 2, max(0, model.numFeatures - f - 1)))
         )
         for place, f in enumerate(sorted(users))
     }

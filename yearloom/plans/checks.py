@@ -159,14 +159,14 @@ def dependence_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 def importance_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The built-in importances of Task 2, written and read back: one row a feature, and their sum."""
     task = fitted_tasks(spark, sf_dir)["2"]
-    table_of = explain.builtin_importance(spark, task.model, task.features)
+    table_of = explain.builtin_importance(spark, task.model, task.names)
     back = spark.read.parquet(write_table(table_of, folder(spark, "tables"), "feature_importance", task.task.model_name))
     return rounded(back.agg(F.count_distinct("feature").alias("n_features"), F.sum("importance").alias("importance")))
 
 
 def importance_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     task = fitted_tasks(spark, sf_dir)["1a"]
-    every = explain.builtin_importance(spark, task.model, task.features, top=len(task.features))
+    every = explain.builtin_importance(spark, task.model, task.names, top=len(task.features))
     return rounded(every.agg(F.count("*").alias("n_features"), F.sum("importance").alias("importance")))
 
 

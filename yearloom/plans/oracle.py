@@ -399,6 +399,20 @@ def oracle_sql() -> dict[str, str]:
             "cross join (select distinct yr from panel) "
             "left join (select drg_code, yr, sum(discharges) as total from panel group by 1, 2) using (drg_code, yr)"
         ),
+        "e6_code_vectors": with_panel(
+            "select drg_code, yr, round(label, 6) as label, feature_index, feature, round(cast(value as double), 6) as value from ("
+            + " union all ".join(
+                f"select drg_code, yr, label, {i} as feature_index, '{f}' as feature, {f} as value from steps"
+                for i, f in enumerate(("yr", "prev_year_discharges", "yoy_change"))
+            )
+            + " union all select s.drg_code, s.yr, s.label, 2 + c.slot, 'drg_code_' || c.drg_code, case when s.drg_code = c.drg_code then 1 else 0 end "
+            "from steps s cross join codes c where c.slot > 0)",
+            "codes as (select drg_code, row_number() over (order by drg_code) - 1 as slot from (select distinct drg_code from panel))",
+            "filled as (select drg_code, yr, coalesce(total, 0.0) as label from codes cross join (select distinct yr from panel) "
+            "left join (select drg_code, yr, sum(discharges) as total from panel group by 1, 2) using (drg_code, yr))",
+            "steps as (select drg_code, yr, label, coalesce(p, 0.0) as prev_year_discharges, coalesce((label - p) / nullif(p, 0), 0.0) as yoy_change "
+            "from (select *, lag(label) over (partition by drg_code order by yr) as p from filled))",
+        ),
         "j4_text_keys": with_panel(
             f"select {ID}, concat_ws('_', facility_id, drg_code, severity_code) as facility_drg_key, cast(yr as varchar) as year_cat from panel"
         ),

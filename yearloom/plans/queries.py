@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import parse_number
+from ..functions import flag, parse_number
 from ..operators import clean, encode, explain, forecast, models, profile, quality, split, stats, totals, windows
 from ..roles import DEFAULT_ROLES
-from ..scale import materialise, sample_rows
+from ..scale import lookup, materialise, sample_rows
 from .derived_panel import PANEL_SETTINGS, panel, state, table
 from .features import FeatureTables, build_features, strict_rows, strict_totals
 from .run import explain_task, forecasts
-from .tasks import TASKS, FittedTask, all_pairs, metrics_table, run_tasks, task_identity
+from .tasks import TASKS, TOTALS_FEATURES, FittedTask, all_pairs, metrics_table, run_tasks, task_identity
 
 R = DEFAULT_ROLES
 S = PANEL_SETTINGS
@@ -179,10 +179,13 @@ def sample_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_hot_query(p: DataFrame) -> DataFrame:
+    """Columns for three levels, from the names that the fitted tables give each row's position."""
     out = p
-    for column in ("severity_code", "med_surg_code"):
-        names = [r["category"] for r in encode.category_table(p, column).collect()]
-        out = encode.one_hot_columns(out, column, names)
+    for column, levels in (("severity_code", "NR"), ("med_surg_code", "O")):
+        fitted, position = encode.DropFirstEncoding.fit(p, column), f"{column}_position"
+        named = lookup(fitted.positions(out), fitted.names().withColumnRenamed("position", position), [position])
+        hot = [flag(F.col("feature") == f"{column}_{c}").alias(f"{column}_{c}") for c in levels]
+        out = named.select(*out.columns, *hot)
     return out
 
 
@@ -201,6 +204,17 @@ def code_positions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fitted.positions(grid).withColumnRenamed(f"{R.prefix_code}_position", "hot_position"))
 
 
+def code_vectors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task 2's vectors with its codes as features: the name and value of every position of every row."""
+    grid = totals.totals_changes(totals.dense_totals(panel(spark, sf_dir), R.prefix_code, R.time, R.volume), R.prefix_code, R.time)
+    grid = materialise(grid, "totals")
+    features = [R.time, *TOTALS_FEATURES]
+    encodings = encode.fit_encodings(grid, [R.prefix_code])
+    flat = encode.assemble(grid, features, "total_discharges", [R.prefix_code, R.time], encodings)
+    each = flat.select(R.prefix_code, R.time, "label", F.posexplode(vector_to_array("features")).alias("feature_index", "value"))
+    return rounded(lookup(each, encode.feature_names(spark, features, encodings), ["feature_index"]))
+
+
 # -- models --------------------------------------------------------------------
 
 
@@ -277,14 +291,14 @@ def dependence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def importance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     task = fitted_tasks(spark, sf_dir)["1a"]
-    return explain.builtin_importance(spark, task.model, task.features)
+    return explain.builtin_importance(spark, task.model, task.names)
 
 
 def permutation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All test rows and features of the first task."""
     task = fitted_tasks(spark, sf_dir)["1a"]
     identity = task_identity(task.task, feature_tables(spark, sf_dir), R)
-    return explain.permutation_importance(task.model, task.test, task.features, identity)
+    return explain.permutation_importance(task.model, task.test, task.names, identity)
 
 
 def forecast_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,6 +401,7 @@ def queries() -> dict[str, Query]:
         "l1_one_hot": on_panel(one_hot_query, ["severity_code_N", "severity_code_R", "med_surg_code_O"]),
         "l2_unknown_category": unknown_category_query,
         "l3_code_positions": code_positions_query,
+        "e6_code_vectors": code_vectors_query,
         "l4_features": features_query,
         "j4_text_keys": on_panel(windows.readable_keys, ["facility_drg_key", "year_cat"]),
         # metrics and models

@@ -12,7 +12,7 @@ from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.encode import assemble, fit_encodings
+from ..operators.encode import assemble, feature_names, fit_encodings
 from ..operators.models import DEFAULT_BOOST, BoostSettings, fit_boosted, metrics, predict
 from ..operators.split import choose_test_time, sampled_split
 from ..roles import DEFAULT_LIMITS, DEFAULT_ROLES, DEFAULT_SETTINGS, Limits, PanelRoles, Settings
@@ -69,6 +69,7 @@ class FittedTask:
     features: list[str]
     test: DataFrame
     predictions: DataFrame
+    names: DataFrame  # (feature_index, feature) of every position of the vectors, codes included
     encodings: list = field(default_factory=list)
 
 
@@ -98,10 +99,8 @@ def run_task(
     vectors = materialise(assemble(train, features, task.label, identity, encodings), "train")
     test_vectors = materialise(assemble(test, features, task.label, identity, encodings), "test")
     model = fit_boosted(vectors, boost, identity)
-    names = list(features)
-    for encoding in encodings:
-        names += [r["feature"] for r in encoding.names().orderBy("position").collect()]
-    return FittedTask(task, model, names, test_vectors, predict(model, test_vectors, task.model_name), encodings)
+    names = feature_names(source.sparkSession, features, encodings)
+    return FittedTask(task, model, features, test_vectors, predict(model, test_vectors, task.model_name), names, encodings)
 
 
 def run_tasks(
