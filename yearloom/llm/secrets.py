@@ -136,7 +136,12 @@ def text_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def build_index(docs: DataFrame, rules=RULES) -> DataFrame:
-    """Writes the postings (trigram, key) of the rules' trigrams over the whole lower-case texts, sorted by trigram."""
+    """Writes the postings (trigram, key) of the rules' trigrams over the whole lower-case texts, sorted by trigram.
+
+    Null texts have no postings; a null doc_id is as good as any other; repeated
+    rows share their key and repeat its postings; other columns are ignored; an
+    empty table has none.
+    """
     grams = sorted({g for r in rules for clause in trigram_query(r.pattern) for option in clause for g in option})
     folded = docs.select(text_key().alias("key"), F.lower("text").alias("low"))
     there = F.filter(F.array(*map(F.lit, grams)).cast("array<string>"), lambda g: F.contains("low", g))
@@ -145,7 +150,11 @@ def build_index(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def candidates(index: DataFrame, rules=RULES) -> DataFrame:
-    """(key, rules): for each key the numbers of the rules whose queries its postings meet."""
+    """(key, rules): for each key the numbers of the rules whose queries its postings meet.
+
+    A key comes once, however often its postings repeat; keys that meet no query
+    are left out, and an empty index gives no rows.
+    """
     spark = index.sparkSession
     wanted = [
         (number, c, o, gram, len(option))
@@ -210,6 +219,8 @@ def redact(found: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """Replaces each secret of ``found`` (text, spans) in the text; touching or overlapping spans become one mark.
 
     Spans come in order of start, so one pass over them keeps the text between.
+    Rows without spans stay as they are, null texts and null doc_ids too; texts
+    of any length, repeated rows and all other columns are kept.
     """
     text = F.coalesce("text", F.lit(""))
     begin = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
