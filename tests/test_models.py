@@ -1,4 +1,6 @@
 import random
+from dataclasses import replace
+from types import SimpleNamespace
 
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -163,3 +165,37 @@ def test_what_a_run_wrote_is_deleted(spark):
     assert release(spark, mark) == 1
     with pytest.raises(Exception, match="(?i)not.exist|FileNotFound"):
         spark.read.parquet(path).count()
+
+
+def test_a_query_fits_the_tasks_it_names(spark, monkeypatch):
+    from yearloom.plans import queries
+
+    asked = []
+
+    def record(tables, settings, tasks):
+        asked.append([t.id for t in tasks])
+        return [SimpleNamespace(task=t) for t in tasks]
+
+    monkeypatch.setattr(queries, "_FITTED", {})
+    monkeypatch.setattr(queries, "state", lambda s, d: d)
+    monkeypatch.setattr(queries, "feature_tables", lambda s, d: None)
+    monkeypatch.setattr(queries, "run_tasks", record)
+    assert queries.fitted_task(spark, "here", "1a").task.id == "1a"
+    assert list(queries.fitted_tasks(spark, "here")) == [t.id for t in TASKS]
+    queries.fitted_task(spark, "here", "2")
+    queries.fitted_task(spark, "there", "2")
+    assert asked == [["1a"], ["1b", "1c", "2", "3"], ["2"]]
+
+
+def test_a_first_fit_serves_if_it_stops_within(linear, monkeypatch):
+    fits, fit = [], models.GBTRegressor.fit
+    monkeypatch.setattr(models.GBTRegressor, "fit", lambda self, df: fits.append(self.getMaxIter()) or fit(self, df))
+    noisy = replace(FAST, rounds=12, hold_out=0.3, stop_above=100, patience=1, tolerance=0.004, first_rounds=12)
+    whole = models.fit_boosted(linear, noisy, ["id"])
+    assert fits == [12] and 2 < whole.getNumTrees < 12
+    several = lambda first: models.fit_boosted(linear, replace(noisy, first_rounds=first), ["id"])
+    scores = lambda model: [r["prediction"] for r in model.transform(linear).orderBy("id").collect()]
+    short = several(whole.getNumTrees + 1)
+    longer = several(whole.getNumTrees)  # the last round of the first fit does not tell
+    assert fits[1:] == [whole.getNumTrees + 1, whole.getNumTrees, 12]
+    assert scores(short) == scores(whole) == scores(longer)
