@@ -26,3 +26,15 @@ def test_a_large_table_of_small_groups_is_read_once(spark, sf):
     large = derive_panel(spark, sf, Limits(group_rows=lines // 2))
     assert written_so_far() == before  # no copy of the joined rows, no table of hot groups
     assert sorted(large.collect()) == sorted(derive_panel(spark, sf, Limits(group_rows=max(1, bound // 2))).collect())
+
+
+def test_strict_features_ask_for_no_key_that_the_panel_has(small_panel):
+    from yearloom.operators.trailing import last_years, trailing_means
+
+    keys, measures = ["facility_id", "drg_code"], ["discharges", "mean_cost"]
+    for asked, own in (
+        (trailing_means(small_panel, small_panel, keys, "yr", measures, "t"), trailing_means(small_panel, None, keys, "yr", measures, "t")),
+        (last_years(small_panel, small_panel, keys, "yr", measures, "discharges"), last_years(small_panel, None, keys, "yr", measures, "discharges")),
+    ):
+        assert "Union" not in own._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(own.collect(), key=str) == sorted(asked.collect(), key=str)
