@@ -38,3 +38,15 @@ def test_strict_features_ask_for_no_key_that_the_panel_has(small_panel):
     ):
         assert "Union" not in own._jdf.queryExecution().optimizedPlan().toString()
         assert sorted(own.collect(), key=str) == sorted(asked.collect(), key=str)
+
+
+def test_windows_are_dealt_by_rows_however_few_partitions_a_session_has(spark, small_panel):
+    from yearloom.scale import lagged
+
+    lags, keys = {"before": ("discharges", 1)}, ["facility_id", "drg_code", "severity_code"]
+    order = ["yr", "med_surg_code", "mean_cost", "median_cost", "mean_charge", "median_charge"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small = Limits(task_rows=small_panel.count() // (4 * parts))
+    dealt, plain = lagged(small_panel, keys, order, lags, small), lagged(small_panel, keys, order, lags)
+    assert dealt.rdd.getNumPartitions() >= 4 * parts
+    assert sorted(dealt.collect()) == sorted(plain.collect())
