@@ -46,6 +46,15 @@ def test_words_give_the_ids_of_whole_texts(library, gibberish):
         assert list(np.frombuffer(encoder.ids(text), "<u4")) == library(text), text
 
 
+def test_plain_texts_are_kept_by_pieces(library):
+    encoder = Encoder(default_path())
+    for text in ["It's as said. AS. (as) as, ÀÉß! ÿ's 2nd 12", "  a  b\n\n'S 'll''ve A'D don'ts?!  ", "Ça  été, l'Œuvre\tas. <|x|> as."]:
+        assert list(np.frombuffer(encoder.ids(text), "<u4")) == library(text), text
+    first = Encoder(default_path())
+    first.ids("as. (as) as, AS! As; ÇA ça.")
+    assert {"as", "ça"} <= set(first._words) and not [w for w in first._words if len(w) > 2]
+
+
 def test_cache_limit_changes_nothing(library, gibberish, monkeypatch):
     monkeypatch.setattr("yearloom.llm.tokenizer._Words.most", 10)
     encoder = Encoder(default_path())

@@ -1,10 +1,11 @@
-"""Whole texts to token ids with the tokenizers library, one distinct word at a time.
+"""Whole texts to token ids with the tokenizers library, one distinct word or piece of a word at a time.
 
 The word tokenizer splits at white space first, and nothing in its normaliser
 or patterns reaches over a space, so a text's ids are the ids of its words in
-turn.  Each worker keeps the ids of words it has met; a new word of plain
-Latin letters is cut by the tokenizer's own split pattern and its pieces are
-looked up the same way, any other word is encoded by the library as it is.
+turn.  A text of plain Latin letters is cut by the tokenizer's own split
+pattern, and each worker keeps the ids of pieces it has met: words with marks
+beside them, often met once, are not kept.  Of any other text it keeps those of
+words: plain ones are cut the same way, the library encodes others as they are.
 
 All this holds for files with the rules of that tokenizer only; with any other
 file the library encodes each text as a whole.
@@ -23,8 +24,10 @@ from yearloom.llm.common import Remembered, hold
 CACHE_WORDS = 250_000
 
 # The split pattern of the word tokenizer for lower-case ASCII and Latin-1 letters.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 ]+")
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+_PLAIN_TEXT = re.compile(r"[\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 
 
 def default_path() -> str:
@@ -70,16 +73,22 @@ class _Words(Remembered):
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
         self._merged = self._tokenizer.model.tokenize
-        self._letters = _byte_letters()
+        self._letters = {b: letter for b, letter in _byte_letters().items() if letter != chr(b)}
 
     def find(self, word: str) -> bytes:
+        if _LETTERS.fullmatch(word):
+            return self._piece(word)
         if not _PLAIN.fullmatch(word) or "<|" in word:
             found = self._tokenizer.encode(word, add_special_tokens=False).ids
             return pack(f"<{len(found)}I", *found)
         pieces = _PIECES.findall(word.lower())
         if len(pieces) != 1:  # each piece is one piece when cut again
             return b"".join(map(self.__getitem__, pieces))
-        piece = pieces[0] if pieces[0].isascii() else "".join([self._letters[b] for b in pieces[0].encode()])
+        return self._piece(pieces[0])
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self._letters)
         found = [t.id for t in self._merged(piece)]
         return pack(f"<{len(found)}I", *found)
 
@@ -101,6 +110,8 @@ class Encoder:
             found = self._whole.encode(text or "", add_special_tokens=False).ids
             return pack(f"<{len(found)}I", *found)
         text = (text or "").replace("\n", " ")
+        if _PLAIN_TEXT.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self._words.__getitem__, _PIECES.findall(text.lower())))
         if text.isascii() and "<|" not in text:  # fewer distinct words; the tokenizer lowers case itself
             text = text.lower()
         return b"".join(map(self._words.__getitem__, text.split(" ")))
