@@ -111,3 +111,19 @@ def test_thresholds_by_hand():
     assert boosting.thresholds(np.array([1.0, 3.0, 3.0, 5.0]), 8).tolist() == [2.0, 4.0]
     assert boosting.thresholds(np.array([2.0, 2.0]), 8).tolist() == []
     assert boosting.thresholds(np.arange(100.0), 4).tolist() == [24.5, 49.5, 74.5]
+
+
+@pytest.mark.parametrize("boost, written", [(OWN, 0), (SPARK, 1)])
+def test_vectors_that_are_read_once_are_not_written(spark, monkeypatch, boost, written):
+    from types import SimpleNamespace
+
+    from yearloom.plans import tasks
+    from yearloom.roles import DEFAULT_ROLES as R
+
+    labels, keep = [], tasks.materialise
+    monkeypatch.setattr(tasks, "materialise", lambda df, label: labels.append(label) or keep(df, label))
+    totals = spark.createDataFrame([(f"d{i}", 1990 + y, float(i + y), float(y), 0.1 * i) for i in range(30) for y in range(4)],
+                                   [R.prefix_code, R.time, "total_discharges", "prev_year_discharges", "yoy_change"])
+    task = next(t for t in tasks.TASKS if t.on_totals)
+    done = tasks.run_task(task, SimpleNamespace(totals=totals), 1993, boost=replace(boost, rounds=2, depth=2))
+    assert labels.count("train") == written and done.predictions.count() == 30
