@@ -102,11 +102,22 @@ def test_a_claim_of_the_sample_that_does_not_hold_is_dropped(spark):
     flat = df.select("label", F.lit(False).alias("held"), vector_to_array("features").alias("x"))
     binned = flat.mapInArrow(boosting._binner(cuts), boosting._BINNED)
     sampled = [a[:300].astype(np.uint8), (a[:300] // 2).astype(np.uint8)]
-    assert len(boosting.plan_layout(sampled, bins).columns) == 1
-    layout = boosting.common_layout(binned, sampled, bins)
+    claimed = boosting.plan_layout(sampled, bins)
+    assert len(claimed.columns) == 1
+    layout = boosting.common_layout(binned, claimed, bins)
     assert layout.columns == [[(0, 1)], [(1, 1)]] and layout.sizes == [4, 2]
 
 
+def test_the_driver_gets_no_rows(table, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "toArrow", None)
+    monkeypatch.setattr(DataFrame, "toPandas", None)
+    plan = table.select(vector_to_array("features").alias("x")).repartition(1).mapInArrow(boosting._planner(255, 6), "plan binary").collect()
+    assert len(plan) == 1
+    assert models.fit_boosted(table, replace(OWN, rounds=2), ["id"]).getNumTrees == 2
+
+
 def test_thresholds_by_hand():
     assert boosting.thresholds(np.array([1.0, 3.0, 3.0, 5.0]), 8).tolist() == [2.0, 4.0]
     assert boosting.thresholds(np.array([2.0, 2.0]), 8).tolist() == []
